@@ -73,13 +73,13 @@ def row_vectors(cells: DataFrame, samples: DataFrame, axis: DataFrame) -> DataFr
         .agg(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))).alias("entries"))
     )
     empty = F.array().cast("array<struct<pos:int,value:double>>")
-    joined = samples.join(observed, "sample_id", "left").withColumn(
-        "entries", F.coalesce("entries", empty)
+    joined = samples.join(observed, "sample_id", "left").withColumns(
+        {"entries": F.coalesce("entries", empty), "_size": size}
     )
     repeated = F.size(F.array_distinct(F.col("entries.pos"))) < F.size("entries")
     error = F.raise_error(F.concat(F.lit("repeated feature in sample "), F.col("sample_id")))
-    x = F.when(repeated, error.cast("array<double>")).otherwise(dense(F.col("entries"), size))
-    return joined.withColumn("x", x).drop("entries")
+    x = F.when(repeated, error.cast("array<double>")).otherwise(dense(F.col("entries"), F.col("_size")))
+    return joined.withColumn("x", x).drop("entries", "_size")
 
 
 def keyed_matrix(vectors: DataFrame, axis: DataFrame, membership: DataFrame, keys: Sequence[str]) -> Matrix:
