@@ -158,7 +158,7 @@ shares AS (
   FROM users u CROSS JOIN types t LEFT JOIN seen s ON s.user_id = u.user_id AND s.event_type = t.event_type
   GROUP BY 1, 2)
 SELECT dense_rank() OVER (ORDER BY event_type) AS feature_id FROM (
-  SELECT event_type, bool_and(share >= 0.6::DOUBLE) AS ok FROM shares GROUP BY 1) QUALIFY true AND ok
+  SELECT event_type, bool_and(share >= 0.6::DOUBLE) AS ok FROM shares GROUP BY 1) QUALIFY ok
 """, name="filter_groupwise_missingness_events")
 def groupwise_events(fx):
     """Users x event types: features are the ranks of the types."""

@@ -15,6 +15,7 @@ import pandas as pd
 
 from peaklake.functions.hashing import draw_int, draw_key, draw_unit
 from peaklake.functions.vectors import dense, has_gap
+from peaklake.operators.cogroup import cogroup_apply
 from peaklake.operators.columns import column_stats, pack, train_rows
 from peaklake.operators.matrix import Matrix
 from peaklake.operators.ranking import hash_rank
@@ -138,7 +139,7 @@ def nearest_donor_values(
         )
 
     group = [*keys, "qblock", "dblock"]
-    best = q.groupBy(*group).cogroup(d.groupBy(*group)).applyInPandas(block, schema)
+    best = cogroup_apply(q, d, group, block, schema)
     order = Window.partitionBy(*keys, "sample_id", "pos").orderBy("dist", "donor_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -205,7 +206,7 @@ def nearest_rows(
         return out.assign(donor_id=ids[pick], donor_y=y[pick].astype("int32"), dist=dist[row, pick])
 
     group = [*keys, "qblock", "dblock"]
-    best = q.groupBy(*group).cogroup(d.groupBy(*group)).applyInPandas(block, schema)
+    best = cogroup_apply(q, d, group, block, schema)
     order = Window.partitionBy(*keys, "row_id").orderBy("dist", "donor_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
+from peaklake.operators.cogroup import cogroup_apply
 from peaklake.operators.descent import Problem, batch_sums, solve
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def _fit_local(rows: DataFrame, models: DataFrame, keys: list[str], schema: T.St
         return out[schema.names]
 
     group = [*keys, "_part"]
-    return spread.groupBy(*group).cogroup(specs.groupBy(*group)).applyInPandas(run, schema)
+    return cogroup_apply(spread, specs, group, run, schema)
 
 
 def _fit_distributed(
@@ -328,7 +329,7 @@ def score_models(rows: DataFrame, fits: DataFrame, keys: Sequence[str], counts:
         return out[schema.names]
 
     group = [*keys, "_block"]
-    scored = cut.groupBy(*group).cogroup(wide.groupBy(*group)).applyInPandas(run, schema)
+    scored = cogroup_apply(cut, wide, group, run, schema)
     if not counts:
         return scored
     return scored.groupBy(*keys, "model", "role").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
