@@ -166,7 +166,7 @@ def knn_impute(matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS) -> Matrix:
         matrix.rows.join(fills, [*keys, "sample_id"], "left")
         .join(means, keys)
         .withColumn("x", F.when(F.col("_fills").isNull(), F.col("x")).otherwise(filled))
-        .withColumn("x", F.when(has_gap(F.col("x")), F.zip_with("x", "mean", F.coalesce)).otherwise(F.col("x")))
+        .withColumn("x", F.when(has_gap(F.col("x")), F.zip_with("x", "mean", lambda v, m: F.coalesce(v, m))).otherwise(F.col("x")))
     )
     return matrix.with_rows(rows.drop("_fills", "mean"))
 
