@@ -183,7 +183,7 @@ def _labelled(fx: Fixtures) -> DataFrame:
 
 @query(SMOTE_SQL)
 def borderline_smote(fx):
-    return _row_sums(smote(_labelled(fx), ["pair"]))
+    return _row_sums(smote(_labelled(fx), ["pair"], stage=Workspace(fx.spark, "smote").stage))
 
 
 @query()

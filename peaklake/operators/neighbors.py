@@ -48,16 +48,21 @@ def masked_sq_distances(queries: np.ndarray, donors: np.ndarray) -> np.ndarray:
     return np.where(common > 0, np.round(dist, DISTANCE_DIGITS), np.inf)
 
 
-def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest finite distances, ties by id."""
-    order = np.lexsort((ids, dist))[:k] if len(dist) <= 4 * k else _partial(dist, ids, k)
-    return order[np.isfinite(dist[order])]
-
-
-def _partial(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    bound = np.partition(dist, k - 1)[k - 1]
-    near = np.flatnonzero(dist <= bound)  # everything tied with the k-th takes part
-    return near[np.lexsort((ids[near], dist[near]))][:k]
+def smallest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest finite distances of every row; ties go to the earlier column."""
+    n = dist.shape[1]
+    if n <= k:
+        row, col = np.divmod(np.arange(dist.size), n)
+    else:
+        cut = np.argpartition(dist, k - 1, axis=1)[:, :k]
+        bound = np.take_along_axis(dist, cut, axis=1).max(axis=1)
+        # Where more columns than k reach the bound, the partition chose among them at will: choose again in order.
+        tied = np.flatnonzero((dist <= bound[:, None]).sum(axis=1) > k)
+        if tied.size:
+            cut[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
+        row, col = np.repeat(np.arange(len(dist)), k), cut.ravel()
+    finite = np.isfinite(dist[row, col])
+    return row[finite], col[finite]
 
 
 def _in_blocks(
@@ -118,25 +123,22 @@ def nearest_donor_values(
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=schema.names)
-        ids = right["sample_id"].to_numpy(dtype=str)
-        values = _stack(right["x"])
-        present = ~np.isnan(values)
-        wanted = _stack(left["x"])
+        right = right.sort_values("sample_id")
+        values, wanted = _stack(right["x"]), _stack(left["x"])
         dist = masked_sq_distances(wanted, values)
-        rows, poss, picks = [], [], []
-        for r in range(len(wanted)):
-            for pos in np.flatnonzero(np.isnan(wanted[r])):
-                best = _nearest(np.where(present[:, pos], dist[r], np.inf), ids, k)
-                rows.append(np.full(len(best), r))
-                poss.append(np.full(len(best), pos))
-                picks.append(best)
-        if not rows:
+        present, gaps = ~np.isnan(values), np.isnan(wanted)
+        found = []
+        for pos in np.flatnonzero(gaps.any(axis=0)):
+            asking, having = np.flatnonzero(gaps[:, pos]), np.flatnonzero(present[:, pos])
+            if having.size:
+                row, col = smallest(dist[np.ix_(asking, having)], k)
+                found.append((np.full(len(row), pos), asking[row], having[col]))
+        if not found:
             return pd.DataFrame(columns=schema.names)
-        row, pos, pick = np.concatenate(rows), np.concatenate(poss), np.concatenate(picks)
+        pos, row, col = (np.concatenate(part) for part in zip(*found))
         out = left[[*keys, "sample_id"]].iloc[row].reset_index(drop=True)
-        return out.assign(
-            pos=pos.astype("int32"), donor_id=ids[pick], dist=dist[row, pick], value=values[pick, pos]
-        )
+        ids = right["sample_id"].to_numpy()
+        return out.assign(pos=pos.astype("int32"), donor_id=ids[col], dist=dist[row, col], value=values[col, pos])
 
     group = [*keys, "qblock", "dblock"]
     best = cogroup_apply(q, d, group, block, schema)
@@ -144,7 +146,9 @@ def nearest_donor_values(
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_impute(matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS) -> Matrix:
+def knn_impute(
+    matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS, stage=lambda df, name: df
+) -> Matrix:
     """Fill gaps with the mean of the k nearest train rows that have the feature; without any, its train mean."""
     keys = list(matrix.keys)
     donors = matrix.rows.where(train_rows())
@@ -155,7 +159,7 @@ def knn_impute(matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS) -> Matrix:
         .groupBy(*keys, "sample_id")
         .agg(F.collect_list(F.struct("pos", "value")).alias("_fills"))
     )
-    means = pack(column_stats(matrix, train_rows(), mean=F.avg("value")), matrix.keys, "mean")
+    means = stage(pack(column_stats(matrix, train_rows(), mean=F.avg("value")), matrix.keys, "mean"), "means")
     empty = F.array().cast("array<struct<pos:int,value:double>>")
     seen = F.filter(
         F.transform("x", lambda v, i: F.struct(i.alias("pos"), v.alias("value"))),
@@ -172,19 +176,21 @@ def knn_impute(matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS) -> Matrix:
 
 
 def nearest_rows(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """The k nearest other rows: keys..., row_id, donor_id, donor_y, dist, rank.
+    """The nearest other rows: keys..., row_id, y, kind, donor_id, donor_y, dist, rank.
 
-    ``queries`` is (keys..., row_id, x), ``donors`` also has ``y``; rows are complete. A row is not its own donor.
+    Both sides are (keys..., row_id, y, x) of complete rows; a row is not its own donor. Kind ``all`` lists the k
+    nearest donors, kind ``kin`` the ``k_kin`` nearest ones of the query's own class, from the same distances.
     """
     keys = list(keys)
-    q, d = _in_blocks(
-        queries.select(*keys, "row_id", "x"), donors.select(*keys, "row_id", "y", "x"), keys, "row_id", block_rows
-    )
+    side = [*keys, "row_id", "y", "x"]
+    q, d = _in_blocks(queries.select(side), donors.select(side), keys, "row_id", block_rows)
     schema = T.StructType(
         [
             *_fields(queries, [*keys, "row_id"]),
+            T.StructField("y", T.IntegerType()),
+            T.StructField("kind", T.StringType()),
             T.StructField("donor_id", T.StringType()),
             T.StructField("donor_y", T.IntegerType()),
             T.StructField("dist", T.DoubleType()),
@@ -194,21 +200,30 @@ def nearest_rows(
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=schema.names)
-        ids = right["row_id"].to_numpy(dtype=str)
-        own = left["row_id"].to_numpy(dtype=str)
-        y = right["y"].to_numpy()
+        right = right.sort_values("row_id")
+        ids, own = right["row_id"].to_numpy(), left["row_id"].to_numpy()
+        y, own_y = right["y"].to_numpy(), left["y"].to_numpy()
         dist = masked_sq_distances(_stack(left["x"]), _stack(right["x"]))
-        dist[own[:, None] == ids[None, :]] = np.inf
-        picks = [_nearest(dist[r], ids, k) for r in range(len(own))]
-        row = np.repeat(np.arange(len(own)), [len(p) for p in picks])
-        pick = np.concatenate(picks).astype(int)
-        out = left[[*keys, "row_id"]].iloc[row].reset_index(drop=True)
-        return out.assign(donor_id=ids[pick], donor_y=y[pick].astype("int32"), dist=dist[row, pick])
+        at = np.minimum(np.searchsorted(ids.astype(str), own.astype(str)), len(ids) - 1)
+        self_row = np.flatnonzero(ids[at] == own)
+        dist[self_row, at[self_row]] = np.inf
+        parts = []
+        for kind, size in (("all", k), ("kin", k_kin)):
+            if not size:
+                continue
+            allowed = dist if kind == "all" else np.where(own_y[:, None] == y[None, :], dist, np.inf)
+            row, col = smallest(allowed, size)
+            out = left[[*keys, "row_id", "y"]].iloc[row].reset_index(drop=True)
+            parts.append(out.assign(kind=kind, donor_id=ids[col], donor_y=y[col], dist=dist[row, col]))
+        return pd.concat(parts, ignore_index=True)[schema.names]
 
     group = [*keys, "qblock", "dblock"]
     best = cogroup_apply(q, d, group, block, schema)
-    order = Window.partitionBy(*keys, "row_id").orderBy("dist", "donor_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy(*keys, "row_id", "kind").orderBy("dist", "donor_id")
+    wanted = F.when(F.col("kind") == "all", k).otherwise(k_kin)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, k_kin)).where(
+        F.col("rank") <= wanted
+    )
 
 
 DRAWS_PER_CHUNK = 10_000
@@ -222,6 +237,7 @@ def borderline_smote(
     strategy: str | float | dict = "auto",
     seed: int = 42,
     block_rows: int = BLOCK_ROWS,
+    stage=lambda df, name: df,
 ) -> DataFrame:
     """Synthetic minority rows near the border: keys..., row_id, y, x (the new rows only).
 
@@ -231,47 +247,45 @@ def borderline_smote(
     without a danger row get nothing; too few rows for k or m is an error.
     """
     keys = list(keys)
-    counts = class_counts(rows, keys).withColumn("_new", _synthetic_count(strategy))
-    counts = counts.where(F.col("_new") > 0)
+    counts = class_counts(rows, keys).withColumn("_new", _synthetic_count(strategy)).where(F.col("_new") > 0)
     short = (F.col("n_min") <= k) | (F.col("n_min") + F.col("n_maj") <= m)
     error = F.raise_error(F.lit(f"too few rows for {k} minority and {m} overall neighbours"))
     counts = counts.withColumn("_new", F.when(short, error).otherwise(F.col("_new")))
-    tagged = rows.join(counts.select(*keys, "minority", "_new"), keys)
-    minority = tagged.where(F.col("y") == F.col("minority"))
-    around = nearest_rows(minority, tagged, keys, m, block_rows)
-    other = around.join(counts.select(*keys, "minority"), keys).groupBy(*keys, "row_id").agg(
-        F.count_if(F.col("donor_y") != F.col("minority")).alias("_other")
-    )
-    danger_ids = other.where((F.col("_other") * 2 >= m) & (F.col("_other") < m)).select(*keys, "row_id")
-    danger = minority.join(danger_ids, [*keys, "row_id"])
-    ranked = hash_rank(
-        danger.withColumn("_h", draw_key(seed, F.col("row_id"))), keys, "_h", "row_id", name="_d"
-    ).select(*keys, "row_id", "x", "_d")
-    kin = nearest_rows(danger, minority, keys, k, block_rows).select(
-        *keys, "row_id", F.col("donor_id").alias("kin_id"), F.col("rank").alias("_k")
+    counts = stage(counts.select(*keys, "minority", "_new"), "smote-counts")
+    minority = rows.join(counts.select(*keys, F.col("minority").alias("y")), [*keys, "y"])
+    near = stage(nearest_rows(minority, rows, keys, m, k, block_rows), "smote-near")
+    others = near.where(F.col("kind") == "all").groupBy(*keys, "row_id").agg(
+        F.count_if(F.col("donor_y") != F.col("y")).alias("_other")
     )
-    per_key = danger.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_danger"), F.first("_new").alias("_new"))
+    danger = others.where((F.col("_other") * 2 >= m) & (F.col("_other") < m)).select(*keys, "row_id")
+    ranked = hash_rank(danger.withColumn("_h", draw_key(seed, F.col("row_id"))), keys, "_h", "row_id", name="_d")
+    ranked = stage(ranked.select(*keys, "row_id", "_d"), "smote-danger")
+    per_key = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_danger")).join(counts, keys)
     # Two steps, so that a large key is not unrolled by one task.
-    chunks = per_key.withColumn("_chunk", F.explode(F.sequence(F.lit(0), ((F.col("_new") - 1) / DRAWS_PER_CHUNK).cast("int"))))
+    last = ((F.col("_new") - 1) / DRAWS_PER_CHUNK).cast("int")
+    chunks = per_key.withColumn("_chunk", F.explode(F.sequence(F.lit(0), last))).repartition(*keys, "_chunk")
     first = F.col("_chunk") * DRAWS_PER_CHUNK
-    draws = chunks.repartition(*keys, "_chunk").withColumn(
+    draws = chunks.withColumn(
         "_g", F.explode(F.sequence(first, F.least(first + DRAWS_PER_CHUNK, F.col("_new").cast("int")) - 1))
     )
     named = [seed, *[F.col(c) for c in keys], F.col("_g")]
     draws = draws.select(
         *keys,
+        F.col("minority").cast("int").alias("y"),
         "_g",
         (F.pmod(draw_int(*named, "row"), F.col("_n_danger")) + 1).alias("_d"),
         (F.pmod(draw_int(*named, "kin"), F.lit(k)) + 1).alias("_k"),
         draw_unit(*named, "gap").alias("_u"),
     )
-    ends = minority.select(*keys, F.col("row_id").alias("kin_id"), F.col("x").alias("_end"))
-    made = draws.join(ranked, [*keys, "_d"]).join(kin, [*keys, "row_id", "_k"]).join(ends, [*keys, "kin_id"])
-    label = counts.select(*keys, F.col("minority").alias("y"))
-    x = F.transform(F.arrays_zip("x", "_end"), lambda c: c["x"] + F.col("_u") * (c["_end"] - c["x"]))
-    return made.join(label, keys).select(
-        *keys, F.concat(F.lit("synthetic-"), F.col("_g")).alias("row_id"), F.col("y").cast("int").alias("y"), x.alias("x")
+    kin = near.where(F.col("kind") == "kin").select(*keys, "row_id", F.col("donor_id").alias("kin_id"), F.col("rank").alias("_k"))
+    starts = rows.select(*keys, "row_id", "x")
+    ends = rows.select(*keys, F.col("row_id").alias("kin_id"), F.col("x").alias("_end"))
+    made = (
+        draws.join(ranked, [*keys, "_d"]).join(kin, [*keys, "row_id", "_k"])
+        .join(starts, [*keys, "row_id"]).join(ends, [*keys, "kin_id"])
     )
+    x = F.transform(F.arrays_zip("x", "_end"), lambda c: c["x"] + F.col("_u") * (c["_end"] - c["x"]))
+    return made.select(*keys, F.concat(F.lit("synthetic-"), F.col("_g")).alias("row_id"), "y", x.alias("x"))
 
 
 def _synthetic_count(strategy: str | float | dict) -> Column:
@@ -297,6 +311,6 @@ def resample(
         out = out.select(*keys, "row_id", "y", "x")
     if smote:
         out = stage(out, "before-smote")
-        new = borderline_smote(out, keys, k, m, smote_strategy, seed)
+        new = borderline_smote(out, keys, k, m, smote_strategy, seed, stage=stage)
         out = out.unionByName(new)
     return out

@@ -10,7 +10,7 @@ from peaklake.config import Preprocess
 from peaklake.functions.hashing import draw_unit
 from peaklake.functions.scalars import finite_positive
 from peaklake.operators.columns import column_stats, min_positive, missing_share, pack, train_rows
-from peaklake.operators.matrix import Matrix, keep_features
+from peaklake.operators.matrix import Matrix, pick
 from peaklake.operators.neighbors import knn_impute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +57,15 @@ def apply_log2(matrix: Matrix, stats: DataFrame) -> Matrix:
     return matrix.with_rows(rows.withColumn("x", x).drop("eps"))
 
 
+def low_value_stats(matrix: Matrix, nan_threshold: float = 0.5) -> DataFrame:
+    """keys..., pos, n (observed train values), base: min / 5 where the missing share reaches the threshold."""
+    stats = column_stats(matrix, train_rows(), n=F.count("value"), na_share=missing_share(), low=F.min("value"))
+    return stats.withColumn("base", F.when(F.col("na_share") >= nan_threshold, F.col("low") / 5.0))
+
+
 def fit_low_value(matrix: Matrix, nan_threshold: float = 0.5) -> DataFrame:
     """keys..., base: a fifth of the smallest observed train value, where enough is missing, else NULL."""
-    stats = column_stats(matrix, train_rows(), na_share=missing_share(), low=F.min("value"))
-    base = F.when(F.col("na_share") >= nan_threshold, F.col("low") / 5.0)
-    return pack(stats.withColumn("base", base), matrix.keys, "base")
+    return pack(low_value_stats(matrix, nan_threshold), matrix.keys, "base")
 
 
 def apply_low_value(matrix: Matrix, stats: DataFrame, noise_scale: float, seed: int) -> Matrix:
@@ -106,14 +110,15 @@ def preprocess(matrix: Matrix, config: Preprocess, stage=lambda df, name: df) ->
     the statistics are joined as broadcasts of known size.
     """
     logged = apply_log2(matrix, stage(fit_log2(matrix, config.fallback_eps), "log2"))
-    observed = column_stats(logged, train_rows(), n=F.count("value")).where(F.col("n") > 0)
-    kept = logged.positions().join(observed, [*matrix.keys, "pos"]).select(*matrix.keys, "feature_id")
-    usable = keep_features(logged, stage(kept, "usable"))
-    usable = Matrix(usable.rows, stage(usable.axis, "axis"), usable.keys)
-    low = stage(fit_low_value(usable, config.nan_threshold), "low")
-    filled = apply_low_value(usable, low, config.noise_scale, config.seed)
+    # One pass serves both: which features were ever observed, and the base of the low-value fill.
+    stats = low_value_stats(logged, config.nan_threshold)
+    usable = stats.where(F.col("n") > 0).join(logged.positions(), [*matrix.keys, "pos"])
+    packed = F.sort_array(F.collect_list(F.struct("pos", "feature_id", "base")))
+    picked = stage(usable.groupBy(*matrix.keys).agg(packed.alias("picked")), "low")
+    low = picked.select(*matrix.keys, F.col("picked.base").alias("base"))
+    filled = apply_low_value(pick(logged, picked), low, config.noise_scale, config.seed)
     filled = filled.with_rows(stage(filled.rows, "filled"))
-    complete = knn_impute(filled, config.k_neighbors)
+    complete = knn_impute(filled, config.k_neighbors, stage=stage)
     if not config.scale:
         return complete
     complete = complete.with_rows(stage(complete.rows, "complete"))
