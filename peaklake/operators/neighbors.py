@@ -24,7 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 2000
+BLOCK_VALUES = 4_000_000  # rows x features of a donor block: 32 MB
+DONOR_ROWS = (256, 16_384)  # bounds of the rows of a donor block
+QUERY_SHARE = 4  # query blocks are that much smaller, which keeps all cores busy on few keys
+SLICE_ROWS = 128  # queries of a block that are handled at once
 DISTANCE_DIGITS = 9  # distances are compared after rounding, so equal rows tie whatever the block layout
 
 
@@ -32,51 +35,98 @@ def _stack(rows: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
 
 
-def masked_sq_distances(queries: np.ndarray, donors: np.ndarray) -> np.ndarray:
-    """p / common * sum of squared differences over the features present in both; inf without a common one."""
-    both = np.vstack([queries, donors])
-    # Moving both sides by the same vector changes no difference and keeps the sums small.
-    shift = np.nansum(both, axis=0) / np.maximum(np.sum(~np.isnan(both), axis=0), 1)
-    q, d = queries - shift, donors - shift
-    mq, md = ~np.isnan(q), ~np.isnan(d)
-    q, d = np.where(mq, q, 0.0), np.where(md, d, 0.0)
-    mq, md = mq.astype(np.float64), md.astype(np.float64)
-    common = mq @ md.T
-    total = (q * q) @ md.T - 2.0 * (q @ d.T) + mq @ (d * d).T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        dist = queries.shape[1] * np.maximum(total, 0.0) / common
-    return np.where(common > 0, np.round(dist, DISTANCE_DIGITS), np.inf)
+class Donors:
+    """One block of donors, ready for distances to slices of queries."""
+
+    def __init__(self, donors: np.ndarray):
+        present = ~np.isnan(donors)
+        # Moving both sides by the same vector changes no difference and keeps the sums small.
+        self.shift = np.nansum(donors, axis=0) / np.maximum(present.sum(axis=0), 1)
+        self.complete = bool(present.all())
+        moved = np.where(present, donors - self.shift, 0.0)
+        self.x, self.squares, self.mask = moved.T.copy(), (moved * moved).T.copy(), present.T.astype(np.float64)
+        self.norms = self.squares.sum(axis=0)
+
+    def distances(self, queries: np.ndarray) -> np.ndarray:
+        """p / common * sum of squared differences over the features present in both; inf without a common one."""
+        present = ~np.isnan(queries)
+        q = np.where(present, queries - self.shift, 0.0)
+        if self.complete and present.all():
+            return np.maximum((q * q).sum(axis=1)[:, None] - 2.0 * (q @ self.x) + self.norms, 0.0)
+        mask = present.astype(np.float64)
+        common = mask @ self.mask
+        total = (q * q) @ self.mask - 2.0 * (q @ self.x) + mask @ self.squares
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = queries.shape[1] * np.maximum(total, 0.0) / common
+        return np.where(common > 0, dist, np.inf)
+
+
+def ranked(dist: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest distances of every row in order; equal rounded distances keep the column order."""
+    n = dist.shape[1]
+    if n <= k:
+        return np.argsort(np.round(dist, DISTANCE_DIGITS), axis=1, kind="stable")
+    cut = np.sort(np.argpartition(dist, k - 1, axis=1)[:, :k], axis=1)
+    near = np.take_along_axis(dist, cut, axis=1)
+    order = np.argsort(np.round(near, DISTANCE_DIGITS), axis=1, kind="stable")
+    out = np.take_along_axis(cut, order, axis=1)
+    # Where more columns than k reach the last distance, the partition chose among them at will: look further there.
+    bound = near.max(axis=1) + 10.0 ** -DISTANCE_DIGITS
+    tied = np.flatnonzero((dist <= bound[:, None]).sum(axis=1) > k)
+    if tied.size:
+        out[tied] = ranked(dist[tied], 4 * k)[:, :k]
+    return out
 
 
 def smallest(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k smallest finite distances of every row; ties go to the earlier column."""
-    n = dist.shape[1]
-    if n <= k:
-        row, col = np.divmod(np.arange(dist.size), n)
-    else:
-        cut = np.argpartition(dist, k - 1, axis=1)[:, :k]
-        bound = np.take_along_axis(dist, cut, axis=1).max(axis=1)
-        # Where more columns than k reach the bound, the partition chose among them at will: choose again in order.
-        tied = np.flatnonzero((dist <= bound[:, None]).sum(axis=1) > k)
-        if tied.size:
-            cut[tied] = np.argsort(dist[tied], axis=1, kind="stable")[:, :k]
-        row, col = np.repeat(np.arange(len(dist)), k), cut.ravel()
+    """(row, column) of the k smallest finite distances of every row."""
+    cols = ranked(dist, k)
+    row, col = np.repeat(np.arange(len(dist)), cols.shape[1]), cols.ravel()
     finite = np.isfinite(dist[row, col])
     return row[finite], col[finite]
 
 
+def gap_neighbours(gaps: np.ndarray, present: np.ndarray, dist: np.ndarray, k: int):
+    """(position, row, column) of the k nearest donors that have the feature, for every gap of the queries.
+
+    The nearest donors of a row are ranked once; a gap takes the first k of them that have its feature. Gaps for
+    which that short list is not enough are searched among all donors.
+    """
+    short = ranked(dist, 8 * k)
+    reachable = np.isfinite(np.take_along_axis(dist, short, axis=1))
+    found = []
+    for pos in np.flatnonzero(gaps.any(axis=0)):
+        asking = np.flatnonzero(gaps[:, pos])
+        usable = present[:, pos][short[asking]] & reachable[asking]
+        count = usable.cumsum(axis=1)
+        enough = (count[:, -1] >= k) | (short.shape[1] == dist.shape[1])
+        row, place = np.nonzero(usable & (count <= k) & enough[:, None])
+        found.append((np.full(len(row), pos), asking[row], short[asking[row], place]))
+        rest, having = asking[~enough], np.flatnonzero(present[:, pos])
+        if rest.size and having.size:
+            row, col = smallest(dist[np.ix_(rest, having)], k)
+            found.append((np.full(len(row), pos), rest[row], having[col]))
+    return found
+
+
 def _in_blocks(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], id_col: str, block_rows: int
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], id_col: str, block_rows: int | None
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides (qblock, dblock): queries are repeated per donor block and donors per query block."""
     keys = list(keys)
+    if block_rows is None:
+        low, high = DONOR_ROWS
+        per_block = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(BLOCK_VALUES) / F.greatest(F.col("_p"), F.lit(1))))
+        per_query_block = per_block / QUERY_SHARE
+    else:
+        per_block = per_query_block = F.lit(block_rows)
     sizes = (
-        queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"))
+        queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"), F.max(F.size("x")).alias("_p"))
         .join(donors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")), keys)
         .select(
             *keys,
-            F.ceil(F.col("_nq") / block_rows).cast("int").alias("_qblocks"),
-            F.ceil(F.col("_nd") / block_rows).cast("int").alias("_dblocks"),
+            F.ceil(F.col("_nq") / per_query_block).cast("int").alias("_qblocks"),
+            F.ceil(F.col("_nd") / per_block).cast("int").alias("_dblocks"),
         )
     )
 
@@ -99,7 +149,7 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 
 
 def nearest_donor_values(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int | None = None
 ) -> DataFrame:
     """The k nearest donors of every gap: keys..., sample_id, pos, donor_id, dist, value, rank.
 
@@ -125,20 +175,20 @@ def nearest_donor_values(
             return pd.DataFrame(columns=schema.names)
         right = right.sort_values("sample_id")
         values, wanted = _stack(right["x"]), _stack(left["x"])
-        dist = masked_sq_distances(wanted, values)
-        present, gaps = ~np.isnan(values), np.isnan(wanted)
+        donors, present = Donors(values), ~np.isnan(values)
         found = []
-        for pos in np.flatnonzero(gaps.any(axis=0)):
-            asking, having = np.flatnonzero(gaps[:, pos]), np.flatnonzero(present[:, pos])
-            if having.size:
-                row, col = smallest(dist[np.ix_(asking, having)], k)
-                found.append((np.full(len(row), pos), asking[row], having[col]))
+        for start in range(0, len(wanted), SLICE_ROWS):  # a slice of distances stays in the cache
+            part = wanted[start:start + SLICE_ROWS]
+            dist = donors.distances(part)
+            for pos, row, col in gap_neighbours(np.isnan(part), present, dist, k):
+                found.append((pos, row + start, col, dist[row, col]))
         if not found:
             return pd.DataFrame(columns=schema.names)
-        pos, row, col = (np.concatenate(part) for part in zip(*found))
+        pos, row, col, dist = (np.concatenate(part) for part in zip(*found))
+        dist = np.round(dist, DISTANCE_DIGITS)
         out = left[[*keys, "sample_id"]].iloc[row].reset_index(drop=True)
         ids = right["sample_id"].to_numpy()
-        return out.assign(pos=pos.astype("int32"), donor_id=ids[col], dist=dist[row, col], value=values[col, pos])
+        return out.assign(pos=pos.astype("int32"), donor_id=ids[col], dist=dist, value=values[col, pos])
 
     group = [*keys, "qblock", "dblock"]
     best = cogroup_apply(q, d, group, block, schema)
@@ -147,7 +197,7 @@ def nearest_donor_values(
 
 
 def knn_impute(
-    matrix: Matrix, k: int, block_rows: int = BLOCK_ROWS, stage=lambda df, name: df
+    matrix: Matrix, k: int, block_rows: int | None = None, stage=lambda df, name: df
 ) -> Matrix:
     """Fill gaps with the mean of the k nearest train rows that have the feature; without any, its train mean."""
     keys = list(matrix.keys)
@@ -176,7 +226,7 @@ def knn_impute(
 
 
 def nearest_rows(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int = BLOCK_ROWS
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int | None = None
 ) -> DataFrame:
     """The nearest other rows: keys..., row_id, y, kind, donor_id, donor_y, dist, rank.
 
@@ -203,19 +253,28 @@ def nearest_rows(
         right = right.sort_values("row_id")
         ids, own = right["row_id"].to_numpy(), left["row_id"].to_numpy()
         y, own_y = right["y"].to_numpy(), left["y"].to_numpy()
-        dist = masked_sq_distances(_stack(left["x"]), _stack(right["x"]))
+        donors, wanted = Donors(_stack(right["x"])), _stack(left["x"])
         at = np.minimum(np.searchsorted(ids.astype(str), own.astype(str)), len(ids) - 1)
-        self_row = np.flatnonzero(ids[at] == own)
-        dist[self_row, at[self_row]] = np.inf
-        parts = []
-        for kind, size in (("all", k), ("kin", k_kin)):
-            if not size:
-                continue
-            allowed = dist if kind == "all" else np.where(own_y[:, None] == y[None, :], dist, np.inf)
-            row, col = smallest(allowed, size)
-            out = left[[*keys, "row_id", "y"]].iloc[row].reset_index(drop=True)
-            parts.append(out.assign(kind=kind, donor_id=ids[col], donor_y=y[col], dist=dist[row, col]))
-        return pd.concat(parts, ignore_index=True)[schema.names]
+        is_donor = ids[at] == own
+        classes = {c: np.flatnonzero(y == c) for c in np.unique(own_y)}
+        found = []
+        for start in range(0, len(wanted), SLICE_ROWS):  # a slice of distances stays in the cache
+            dist = donors.distances(wanted[start:start + SLICE_ROWS])
+            mine = np.flatnonzero(is_donor[start:start + SLICE_ROWS])
+            dist[mine, at[start + mine]] = np.inf
+            row, col = smallest(dist, k)
+            found.append(("all", row + start, col, dist[row, col]))
+            for c, kin in classes.items() if k_kin else ():
+                rows_of = np.flatnonzero(own_y[start:start + SLICE_ROWS] == c)
+                if rows_of.size and kin.size:
+                    row, col = smallest(dist[np.ix_(rows_of, kin)], k_kin)
+                    row, col = rows_of[row], kin[col]
+                    found.append(("kin", row + start, col, dist[row, col]))
+        kind = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
+        row, col, dist = (np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+        out = left[[*keys, "row_id", "y"]].iloc[row].reset_index(drop=True)
+        out = out.assign(kind=kind, donor_id=ids[col], donor_y=y[col], dist=np.round(dist, DISTANCE_DIGITS))
+        return out[schema.names]
 
     group = [*keys, "qblock", "dblock"]
     best = cogroup_apply(q, d, group, block, schema)
@@ -236,7 +295,7 @@ def borderline_smote(
     m: int = 10,
     strategy: str | float | dict = "auto",
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     stage=lambda df, name: df,
 ) -> DataFrame:
     """Synthetic minority rows near the border: keys..., row_id, y, x (the new rows only).
@@ -304,13 +363,12 @@ def resample(
     target_ratio: float | None = 5.0, under_sample_strategy: str | float | dict = "auto",
     smote_strategy: str | float | dict = "auto", k: int = 5, m: int = 10, stage=lambda df, name: df,
 ) -> DataFrame:
-    """Under-sample, then add synthetic rows: keys..., row_id, y, x. Both steps are optional."""
+    """Under-sample, then add synthetic rows: keys..., row_id, y, x. Both steps are optional; pass staged rows."""
     out = rows.select(*keys, "row_id", "y", "x")
     if under_sample:
-        out = random_under_sample(out, keys, target_ratio, under_sample_strategy, seed, id_col="row_id")
-        out = out.select(*keys, "row_id", "y", "x")
+        out = random_under_sample(
+            out, keys, target_ratio, under_sample_strategy, seed, id_col="row_id", stage=stage
+        ).select(*keys, "row_id", "y", "x")
     if smote:
-        out = stage(out, "before-smote")
-        new = borderline_smote(out, keys, k, m, smote_strategy, seed, stage=stage)
-        out = out.unionByName(new)
+        out = out.unionByName(borderline_smote(out, keys, k, m, smote_strategy, seed, stage=stage))
     return out

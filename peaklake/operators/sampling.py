@@ -55,20 +55,27 @@ def random_under_sample(
     strategy: str | float | dict = "auto",
     seed: int = 42,
     id_col: str = "sample_id",
+    stage=None,
 ) -> DataFrame:
     """Cut the majority class of each key to at most ``target_ratio`` times the minority, without replacement.
 
     With ``target_ratio=None`` or more than two classes the strategy decides: ``auto`` cuts every class but the
-    smallest to its size, a float is the wanted minority/majority ratio, a dict gives rows per class.
+    smallest to its size, a float is the wanted minority/majority ratio, a dict gives rows per class. With ``stage``
+    the class sizes are looked at first and nothing is ranked if no class has to be cut.
     """
-    sizes = _class_targets(rows, list(keys), target_ratio, strategy)
-    hashed = rows.withColumn("_h", draw_key(seed, *[F.col(c) for c in keys], F.col(id_col)))
-    ranked = hash_rank(hashed, [*keys, "y"], "_h", id_col, name="_r")
-    return (
-        ranked.join(sizes, [*keys, "y"])
-        .where(F.col("_r") <= F.col("_target"))
-        .drop("_h", "_r", "_target")
-    )
+    keys = list(keys)
+    sizes = _class_targets(rows, keys, target_ratio, strategy)
+    if stage is not None:
+        sizes = stage(sizes, "class-targets")
+        if sizes.where(F.col("_target") < F.col("_size")).isEmpty():
+            return rows  # every class is within its bound
+    sized = rows.join(sizes, [*keys, "y"])
+    over = sized.where(F.col("_target") < F.col("_size"))
+    hashed = over.withColumn("_h", draw_key(seed, *[F.col(c) for c in keys], F.col(id_col)))
+    kept = hash_rank(hashed, [*keys, "y"], "_h", id_col, name="_r").where(F.col("_r") <= F.col("_target"))
+    within = sized.where(F.col("_target") >= F.col("_size")).select(*rows.columns)
+    out = within.unionByName(kept.select(*rows.columns))
+    return out if stage is None else stage(out, "under-sampled")
 
 
 def _class_targets(rows, keys, target_ratio, strategy) -> DataFrame:
@@ -93,7 +100,9 @@ def _class_targets(rows, keys, target_ratio, strategy) -> DataFrame:
         cut = F.greatest(F.lit(1), F.least(n, F.bround(F.lit(float(target_ratio)) * n_min).cast("bigint")))
         binary = F.when((n > n_min) & (n > n_min * F.lit(float(target_ratio))), cut).otherwise(n)
         target = F.when(F.col("_classes") == 2, binary).when(F.col("_classes") == 1, n).otherwise(fallback)
-    return per_class.join(per_key, keys).select(*keys, "y", target.cast("bigint").alias("_target"))
+    return per_class.join(per_key, keys).select(
+        *keys, "y", F.col("n").alias("_size"), target.cast("bigint").alias("_target")
+    )
 
 
 def bootstrap_draws(
