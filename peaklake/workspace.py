@@ -8,22 +8,18 @@ twice unless cached) and gives the optimizer real file sizes, so broadcast decis
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for staged tables; a local folder is made up only in local mode."""
+    """Shared folder for staged tables: ``spark.checkpoint.dir``, or a folder beside the session's warehouse tables.
+
+    Both are shared between driver and executors; a machine-local temporary folder is never made up.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="peaklake-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 class Workspace:
