@@ -31,3 +31,11 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = ARROW_ROWS) ->
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a staged, narrow side for broadcast if it has at most ``rows`` rows; beyond that the join is shuffled."""
+    return F.broadcast(side) if side.count() <= rows else side

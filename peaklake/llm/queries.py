@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import secrets
+from peaklake.llm import exact_dedup, kd_sharding, secrets
 from peaklake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def query(sql: str | None = None):
 @query(secrets.oracle_sql())
 def op1_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query(exact_dedup.oracle_sql())
+def op2_exact_dedup(spark, sf_dir):
+    return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
+@query(kd_sharding.oracle_sql(16))
+def op6_kd_sharding(spark, sf_dir):
+    return kd_sharding.manifest(table(spark, sf_dir, "documents"), shards=16)
