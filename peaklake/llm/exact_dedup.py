@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peaklake.llm.common import broadcast_if_small, text_or_empty, workspace
 
@@ -72,10 +73,11 @@ def keyed_state(
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = state.schema.simpleString()[7:-1]
-    seen = spark.read.schema(f"{out},batch:int").parquet(f"{updates}/*") if run.lastProgress else None
-    if seen is None:
-        return spark.createDataFrame([], state.schema)
+    schema = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(updates)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # an empty table starts no batch
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema])
+    seen = spark.read.schema(schema).parquet(f"{updates}/*")
     latest = seen.groupBy("digest").agg(F.max(F.struct("batch", "keep", "n")).alias("last"))
     return latest.select("digest", "last.keep", "last.n")
 
