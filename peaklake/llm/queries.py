@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import exact_dedup, kd_sharding, secrets
+from peaklake.llm import exact_dedup, kd_sharding, licenses, secrets
 from peaklake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,8 @@ def op2_exact_dedup(spark, sf_dir):
 @query(kd_sharding.oracle_sql(16))
 def op6_kd_sharding(spark, sf_dir):
     return kd_sharding.manifest(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query(licenses.oracle_sql())
+def op10_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
