@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import exact_dedup, kd_sharding, licenses, secrets
+from peaklake.llm import exact_dedup, kd_sharding, licenses, mixing, secrets, url_filter
 from peaklake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,14 @@ def op6_kd_sharding(spark, sf_dir):
 @query(licenses.oracle_sql())
 def op10_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query(url_filter.oracle_sql())
+def op3_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.labels_by_number(pages, table(spark, sf_dir, "labels")))
+
+
+@query(mixing.oracle_sql())
+def op9_source_mixing(spark, sf_dir):
+    return mixing.schedule(table(spark, sf_dir, "documents"))
