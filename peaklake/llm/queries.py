@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import exact_dedup, kd_sharding, licenses, mixing, secrets, url_filter
+from peaklake.llm import decontamination, exact_dedup, kd_sharding, licenses, mixing, quality, secrets, url_filter
 from peaklake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,13 @@ def op3_url_filter(spark, sf_dir):
 @query(mixing.oracle_sql())
 def op9_source_mixing(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
