@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import decontamination, exact_dedup, kd_sharding, licenses, mixing, quality, secrets, url_filter
+from peaklake.llm import decontamination, exact_dedup, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, url_filter
 from peaklake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op4_quality(spark, sf_dir):
 @query()
 def op8_decontamination(spark, sf_dir):
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))

@@ -80,7 +80,7 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     out = mix(terms[at])
     for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
         short = words[first[d] : first[d + 1]]
-        out[offsets[d]] = mix((short * _PLACE[: len(short)]).sum(dtype=U) + U(len(short)))
+        out[offsets[d]] = mix((short * _PLACE[: len(short)]).sum(dtype=U, keepdims=True) + U(len(short)))[0]
     return out, offsets
 
 
