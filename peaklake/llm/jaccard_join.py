@@ -86,8 +86,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = Sets(texts[low:high])
             s = np.bincount(sets.owner[sets.sampled], minlength=high - low)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(low, high - low), pa.array(sets.sizes), pa.array(s), _signed(sets.cls), _signed(sets.check)],
-                ["id", "n", "s", "cls", "chk"],
+                [*(batch.column(c).slice(low, high - low) for c in (0, 2)), pa.array(sets.sizes), pa.array(s), _signed(sets.cls), _signed(sets.check)],
+                ["id", "x", "n", "s", "cls", "chk"],
             )
 
 
@@ -281,17 +281,23 @@ def _open_pairs(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id it is linked to, over any number of links)."""
+    return _linked_rows(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``link_components``, with ``x``, a hash that tells texts under one id apart."""
     work = workspace(docs.sparkSession, "jaccard-join")
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     key = source.schema["id"].dataType.simpleString()
-    described = work.stage(source.mapInArrow(_describe, f"id {key}, n bigint, s bigint, cls bigint, chk bigint"), "described")
+    hashed = source.withColumn("x", F.xxhash64("t"))
+    described = work.stage(hashed.mapInArrow(_describe, f"id {key}, x bigint, n bigint, s bigint, cls bigint, chk bigint"), "described")
     classes = work.stage(described.where("n > 0").groupBy("cls", "chk", "n", "s").agg(F.min("id").alias("rep")), "classes")
     roots = _class_components(source, classes, work)
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "chk", "rep", F.coalesce("root", "cls").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = work.stage(named.join(smallest, "root").select("cls", "chk", "component_id"), "named")
     return described.join(named, ["cls", "chk"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        "id", "x", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
@@ -317,3 +323,20 @@ def _class_components(source: DataFrame, classes: DataFrame, work) -> DataFrame:
     if more.isEmpty():
         return comps
     return components(links.unionByName(more), work)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which no linked one has a smaller id; of rows with one id, the smallest text hash stays.
+
+    Texts are joined with nothing: what goes is looked up beside the rows by id and text hash. Rows without an id stay.
+    """
+    work = workspace(docs.sparkSession, "near-duplicates")
+    found = work.stage(_linked_rows(docs, id_col, text_col).where("id is not null"), "components")
+    keepers = found.groupBy("component_id").agg(F.min(F.struct("id", "x")).alias("keeper"))
+    gone = found.join(keepers, "component_id").where(F.struct("id", "x") != F.col("keeper"))
+    gone = work.stage(gone.select(F.col("id").alias("_gone"), F.col("x").alias("_text")).distinct(), "gone")
+    same = (docs[id_col] == F.col("_gone")) & (F.xxhash64(text_or_empty(text_col)) == F.col("_text"))
+    kept = docs.join(broadcast_if_small(gone), same, "left_anti")
+    if found.groupBy("id", "x").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]))

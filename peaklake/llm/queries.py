@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from peaklake.llm import decontamination, exact_dedup, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, url_filter
-from peaklake.llm.common import table
+import corpus_pipeline
+from peaklake.llm import decontamination, exact_dedup, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, url_filter
+from peaklake.llm.common import table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,17 @@ def op8_decontamination(spark, sf_dir):
 @query()
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_token_output(spark, sf_dir):
+    import public_tokenizers
+
+    path = f"{workspace(spark, 'token-files').path}/files"
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.digest(token_output.read_tokens(spark, path))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
