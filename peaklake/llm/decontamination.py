@@ -7,7 +7,7 @@ names an item and a place; the exact weighted-shingle similarity (multiset Jacca
 their counts) of the item with the item-sized window there decides.
 
 The window of an item of m words is the longest run of words that *any* passage with similarity 0.8 or more must have in
-common with it, rounded down to a grid of sizes: at most n/9 of its n shingles can be missing, an edit inside costs at
+common with it, rounded down to a grid of sizes: at most n/5 of its n shingles can be missing, an edit inside costs at
 least four, so the missing ones leave at most x/4 + 1 runs. Such a run has the same fingerprint on both sides, hence no
 passage at or above the threshold is missed, whatever its edits; the radius adds passages whose windows differ.
 
@@ -50,7 +50,7 @@ def window_words(words: int) -> int:
     if words < SHINGLE:
         return words
     n = words - SHINGLE + 1
-    missing = int(n * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9)
+    missing = int(n * (1 - SIMILARITY) + 1e-9)
     run = (n - missing) // (missing // (SHINGLE - 1) + 1) + SHINGLE - 1
     return max(g for g in GRID if g <= run)
 
@@ -148,7 +148,7 @@ class Items:
         best: dict[tuple[int, int], tuple[float, int]] = {}
         seen: set[tuple[int, int, int]] = set()
         for doc, item, start in sorted(candidates):
-            slack = int(self.words[item]) // 9 + 1
+            slack = int(self.words[item] * (1 - SIMILARITY)) + 1
             for at in range(start - slack, start + slack + 1):
                 if (doc, item, at) in seen:
                     continue
