@@ -110,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_r
 
     # one task on the bounded sample; its rows are put in order so that sums do not depend on arrival
     ordered = rows.repartition(1).sortWithinPartitions("good", "f")
-    return np.frombuffer(ordered.mapInArrow(solve, "w binary").first()["w"], "<f4")
+    solved = ordered.mapInArrow(solve, "w binary").first()
+    return np.frombuffer(solved["w"], "<f4") if solved else train([], np.zeros(0))
 
 
 def evidence(weights: np.ndarray, text: Column) -> Column:
