@@ -65,6 +65,8 @@ class SparseModel:
     fit_intercept: bool = True
     max_iter: int = 20_000
     tol: float = 1e-6
+    step_size: float | None = None
+    accelerate: bool = True  # False: plain proximal steps of 1 / (2 R^2) unless step_size is given
     weight_tol: float = 1e-6
 
     @property
@@ -108,6 +110,8 @@ class UnionFinal:
     classifier: str = "svc"  # or "logistic"
     balanced: bool = True
     C_grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)
+    max_iter: int | None = None  # None: the default of the classifier
+    tol: float | None = None
     missingness: MissingnessFilter = field(default_factory=MissingnessFilter)
     resampling: Resampling = field(default_factory=Resampling)
 
@@ -127,6 +131,8 @@ class BootstrapFinal:
     study: Study
     classifier: str = "svc"
     C_grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0, 100.0)
+    max_iter: int | None = None
+    tol: float | None = None
     fit_final: bool = True
 
 

@@ -1,8 +1,10 @@
 """Optimisers for many linear models at once.
 
-Both work on ``evaluate(W, which, delta, curvature)``, which returns the sums of loss, gradient and curvature of
-the models ``which`` at the weights ``W`` (one row per model, intercept last). The caller decides whether these
-sums come from arrays in a task or from a Spark job, so there is one optimiser for both cases.
+Both work on ``evaluate(W, which, delta, curvature, along)``, which returns the sums of loss, gradient and curvature
+of the models ``which`` at the weights ``W`` (one row per model, intercept last); with ``along`` the third part is the
+curvature times these vectors. The caller decides whether the sums come from arrays in a task or from a Spark job, so
+there is one optimiser for both cases. Which one a model gets depends on its loss and penalty alone, never on its
+width, its data or the models beside it.
 
 Minimised: mean weighted loss + l1 * |w|_1 + l2 / 2 * |w|^2, intercept free.
 """
@@ -10,16 +12,19 @@ Minimised: mean weighted loss + l1 * |w|_1 + l2 / 2 * |w|^2, intercept free.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
 # Bounds of the second derivative of each loss with respect to the margin.
 CURVATURE = {"sq_hinge": 2.0, "logistic": 0.25, "hinge": 1.0, "quadratic": 1.0}
 HINGE_WIDTHS = (1.0, 0.1, 0.01, 0.001)  # the hinge is rounded off, ever more tightly
-NEWTON_MAX_FEATURES = 256
+# Newton systems of wider models are solved without forming them; the steps are the same.
+DIRECT_FEATURES = 256
+LINE_LENGTHS = 4.0 ** -np.arange(0, 13)
 
-Evaluate = Callable[[np.ndarray, np.ndarray, float, bool], tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+CHECKED_STEPS = 10  # the first ones and then every tenth
+Evaluate = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray | None]]
 
 
 @dataclass
@@ -35,6 +40,7 @@ class Problem:
     accelerate: bool = True
     step_size: float | None = None
     record: bool = False
+    largest_row: float | None = None  # largest squared norm of a row, without the intercept
 
 
 @dataclass
@@ -63,21 +69,43 @@ def loss_terms(loss: str, margin: np.ndarray, delta: float):
     raise ValueError(f"unknown loss {loss!r}")
 
 
-def batch_sums(x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str, delta: float, curvature: bool):
+def batch_sums(
+    x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str, delta: float, curvature: bool,
+    along: np.ndarray | None = None,
+):
     """Sums over the rows of one batch for every model in ``w``; ``x`` ends with a column of ones."""
     value, slope, bend = loss_terms(loss, y[:, None] * (x @ w.T), delta)
     total = s @ value
     grad = (slope * (s * y)[:, None]).T @ x
+    if along is not None:
+        return total, grad, (bend * s[:, None] * (x @ along.T)).T @ x
     if not curvature:
         return total, grad, None
     return total, grad, np.stack([(x * (s * bend[:, j])[:, None]).T @ x for j in range(w.shape[0])])
 
 
 def solve(problem: Problem, evaluate: Evaluate) -> Fit:
-    smooth_only = not problem.l1.any()
-    if smooth_only and problem.accelerate and problem.free.sum(axis=1).max() <= NEWTON_MAX_FEATURES:
+    smooth = problem.l1 == 0
+    if not problem.accelerate or not smooth.any():
+        return _proximal(problem, evaluate)
+    if smooth.all():
         return _newton(problem, evaluate)
-    return _proximal(problem, evaluate)
+    fit = None
+    for some, optimiser in ((np.flatnonzero(smooth), _newton), (np.flatnonzero(~smooth), _proximal)):
+        part = optimiser(*_only(problem, evaluate, some))
+        if fit is None:
+            m, p1 = problem.free.shape
+            fit = Fit(np.zeros((m, p1)), np.zeros(m, dtype=int), np.zeros(m, dtype=bool), [[] for _ in range(m)])
+        fit.weights[some], fit.steps[some], fit.converged[some] = part.weights, part.steps, part.converged
+        for i, line in zip(some, part.history):
+            fit.history[i] = line
+    return fit
+
+
+def _only(problem: Problem, evaluate: Evaluate, some: np.ndarray) -> tuple[Problem, Evaluate]:
+    """The problem of some of the models."""
+    part = replace(problem, l1=problem.l1[some], l2=problem.l2[some], free=problem.free[some])
+    return part, lambda w, which, *more: evaluate(w, some[which], *more)
 
 
 def _penalised(problem: Problem, w: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -101,9 +129,11 @@ def _largest_eigenvalue(problem: Problem, evaluate: Evaluate, rounds: int = 20)
 def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
     """Proximal gradient steps, accelerated with restarts unless ``accelerate`` is off."""
     m, p1 = problem.free.shape
-    delta = HINGE_WIDTHS[2]
+    delta = HINGE_WIDTHS[-1]
     bend = CURVATURE[problem.loss] / (delta if problem.loss == "hinge" else 1.0)
-    if problem.step_size is None:
+    if problem.step_size is None and not problem.accelerate and problem.largest_row is not None:
+        step = np.full(m, 1.0 / (bend * problem.largest_row + 1e-12))
+    elif problem.step_size is None:
         step = 1.0 / (bend * _largest_eigenvalue(problem, evaluate) + problem.l2)
     else:
         step = np.full(m, problem.step_size)
@@ -123,6 +153,16 @@ def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
         shrink = (step[a] * problem.l1[a])[:, None]
         new[:, :-1] = np.sign(new[:, :-1]) * np.maximum(np.abs(new[:, :-1]) - shrink, 0.0)
         moved, change = new - v[a], new - w[a]
+        if problem.step_size is None and problem.accelerate and (steps[a] < CHECKED_STEPS).any() | (steps[a] % CHECKED_STEPS == 0).any():
+            # the step rests on an estimate: where the quadratic bound fails at it, halve it and try again
+            reached = evaluate(new, a, delta, False)[0] + 0.5 * problem.l2[a] * (new[:, :-1] ** 2).sum(axis=1)
+            bound = total + 0.5 * problem.l2[a] * (v[a][:, :-1] ** 2).sum(axis=1) + (grad * moved).sum(axis=1)
+            bound += (moved * moved).sum(axis=1) / (2.0 * step[a])
+            failed = reached > bound + 1e-12 * np.maximum(1.0, np.abs(bound))
+            step[a[failed]] *= 0.5
+            a, new, moved, change = a[~failed], new[~failed], moved[~failed], change[~failed]
+            if a.size == 0:
+                continue
         steps[a] += 1
         if problem.accelerate:
             done[a] = np.abs(moved).max(axis=1) <= problem.tol * np.maximum(step[a], 1e-12)
@@ -139,12 +179,16 @@ def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
 
 
 def _newton(problem: Problem, evaluate: Evaluate) -> Fit:
-    """Damped Newton steps; one pass for slope and curvature, one for all step lengths together."""
+    """Damped Newton steps; one pass for slope and curvature, one for all step lengths together.
+
+    Models of up to ``DIRECT_FEATURES`` weights sum up their curvature; for wider ones conjugate gradients solve the
+    same system with one pass for each product.
+    """
     m, p1 = problem.free.shape
     w = np.zeros((m, p1))
     steps, converged = np.zeros(m, dtype=int), np.zeros(m, dtype=bool)
-    lengths = 4.0 ** -np.arange(0, 13)
-    eye = np.eye(p1)
+    lengths = LINE_LENGTHS
+    direct = problem.free.sum(axis=1) <= DIRECT_FEATURES
     for delta in HINGE_WIDTHS if problem.loss == "hinge" else (1.0,):
         done = np.zeros(m, dtype=bool)
         converged[:] = False
@@ -152,22 +196,31 @@ def _newton(problem: Problem, evaluate: Evaluate) -> Fit:
             a = np.flatnonzero(~done)
             if a.size == 0:
                 break
-            total, grad, bend = evaluate(w[a], a, delta, True)
+            narrow, wide = np.flatnonzero(direct[a]), np.flatnonzero(~direct[a])
+            total, grad, bend = np.zeros(a.size), np.zeros((a.size, p1)), None
+            if narrow.size:
+                total[narrow], grad[narrow], bend = evaluate(w[a[narrow]], a[narrow], delta, True)
+            if wide.size:
+                total[wide], grad[wide], _ = evaluate(w[a[wide]], a[wide], delta, False)
             now = total + _penalised(problem, w[a], a)
             grad[:, :-1] += problem.l2[a][:, None] * w[a][:, :-1]
             grad *= problem.free[a]
             size = np.abs(grad).max(axis=1)
             flat = size <= problem.tol
             done[a[flat]] = converged[a[flat]] = True
-            a, now, grad, bend, size = a[~flat], now[~flat], grad[~flat], bend[~flat], size[~flat]
+            direction = np.zeros((a.size, p1))
+            for i in np.flatnonzero(~flat):
+                if direct[a[i]]:
+                    free = np.flatnonzero(problem.free[a[i]])
+                    system = bend[np.searchsorted(narrow, i)][np.ix_(free, free)]
+                    system[np.diag_indices(free.size)] += _ridge(problem, a[i:i + 1], size[i:i + 1])[0, free]
+                    direction[i, free] = -np.linalg.solve(system, grad[i, free])
+            far = wide[~flat[wide]]
+            if far.size:
+                direction[far] = _conjugate_gradients(problem, evaluate, w[a[far]], a[far], grad[far], size[far], delta)
+            a, now, direction = a[~flat], now[~flat], direction[~flat]
             if a.size == 0:
                 break
-            ridge = np.zeros((a.size, p1))
-            ridge[:, :-1] = problem.l2[a][:, None]
-            ridge += np.maximum(1e-10, 1e-3 * np.minimum(size, 1.0))[:, None]
-            free = problem.free[a]
-            system = bend * free[:, :, None] * free[:, None, :] + eye * np.where(free > 0, ridge, 1.0)[:, :, None]
-            direction = -np.linalg.solve(system, grad[:, :, None])[:, :, 0] * free
             tries = w[a][:, None, :] + lengths[None, :, None] * direction[:, None, :]
             many = np.repeat(a, lengths.size)
             flat_tries = tries.reshape(-1, p1)
@@ -180,3 +233,34 @@ def _newton(problem: Problem, evaluate: Evaluate) -> Fit:
             # No length improves the objective any more: the optimum to machine precision.
             done[a[~better]] = converged[a[~better]] = True
     return Fit(w, steps, converged, [[] for _ in range(m)])
+
+
+def _ridge(problem: Problem, which: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Diagonal added to the curvature: the L2 penalty and a little more, that vanishes with the slope."""
+    ridge = np.repeat(np.maximum(1e-10, 1e-3 * np.minimum(size, 1.0))[:, None], problem.free.shape[1], axis=1)
+    ridge[:, :-1] += problem.l2[which][:, None]
+    return ridge
+
+
+CG_TOLERANCE = 1e-6
+
+
+def _conjugate_gradients(problem, evaluate, w, which, grad, size, delta) -> np.ndarray:
+    """Newton directions of several models by conjugate gradients, each to the same relative residual."""
+    free, ridge = problem.free[which], _ridge(problem, which, size)
+    found, residual = np.zeros_like(grad), -grad
+    along = residual.copy()
+    norm = (residual * residual).sum(axis=1)
+    goal = CG_TOLERANCE**2 * norm
+    for _ in range(2 * grad.shape[1]):
+        o = np.flatnonzero(norm > goal)
+        if o.size == 0:
+            break
+        bent = evaluate(w[o], which[o], delta, False, along[o])[2] * free[o] + ridge[o] * along[o]
+        step = norm[o] / (along[o] * bent).sum(axis=1)
+        found[o] += step[:, None] * along[o]
+        residual[o] -= step[:, None] * bent
+        new = (residual[o] * residual[o]).sum(axis=1)
+        along[o] = residual[o] + (new / norm[o])[:, None] * along[o]
+        norm[o] = new
+    return found

@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 
 from peaklake.operators.cogroup import cogroup_apply
-from peaklake.operators.descent import Problem, batch_sums, solve
+from peaklake.operators.descent import DIRECT_FEATURES, LINE_LENGTHS, Problem, batch_sums, solve
+from peaklake.functions.vectors import sq_norm
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,6 @@ KINDS = {
     "logistic": ("logistic", 1e-8, 200),
     "svc": ("hinge", 1e-7, 200),
 }
-DISTRIBUTED_MAX_ITER = 500
 
 
 def model_spec(
@@ -63,8 +63,11 @@ SPEC_COLUMNS = [
 ]
 
 
-def _problem(models: pd.DataFrame, n_rows: np.ndarray, p: int) -> Problem:
-    """Models of equal settings as one problem; ``n_rows`` is the number of drawn rows behind each model."""
+def _problem(models: pd.DataFrame, n_rows: np.ndarray, p: int, largest_row: float) -> Problem:
+    """Models of equal settings as one problem; ``n_rows`` is the number of drawn rows behind each model.
+
+    ``largest_row`` is the largest squared norm of a whole row, whatever positions a model uses.
+    """
     first = models.iloc[0]
     svm = models["kind"].to_numpy() == "l1_svm"
     scale = 1.0 / (models["C"].to_numpy() * n_rows)
@@ -83,7 +86,7 @@ def _problem(models: pd.DataFrame, n_rows: np.ndarray, p: int) -> Problem:
         l2=np.where(svm, 0.0, (1.0 - ratio) * scale),
         free=free, tol=float(first["tol"]), max_iter=int(first["max_iter"]),
         accelerate=bool(first["accelerate"]), step_size=None if np.isnan(step) else step,
-        record=bool(first["record_history"]),
+        record=bool(first["record_history"]), largest_row=largest_row,
     )
 
 
@@ -116,11 +119,11 @@ def _fit_group(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         xs = np.column_stack([x[:, used], np.ones(len(x))])
         s = _class_weights(y01, mult, bool(group["balanced"].iloc[0])) / mult.sum()
         signs = 2.0 * y01 - 1.0
-        problem = _problem(local, np.full(len(group), mult.sum()), len(used))
+        problem = _problem(local, np.full(len(group), mult.sum()), len(used), float((x * x).sum(axis=1).max()))
 
-        def evaluate(w, which, delta, curvature):
+        def evaluate(w, which, delta, curvature, along=None):
             loss = "quadratic" if delta < 0 else problem.loss
-            return batch_sums(xs, signs, s, w, loss, delta, curvature)
+            return batch_sums(xs, signs, s, w, loss, delta, curvature, along)
 
         fit = solve(problem, evaluate)
         full = np.zeros((len(group), p + 1))
@@ -158,7 +161,7 @@ def fit_linear(
     rows = rows.select(*keys, "y", "multiplicity", "x")
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"), F.sum("multiplicity").alias("drawn"),
-        F.sum(F.col("y") * F.col("multiplicity")).alias("positive"),
+        F.sum(F.col("y") * F.col("multiplicity")).alias("positive"), F.max(sq_norm(F.col("x"))).alias("r2"),
     )
     large = [r.asDict() for r in sizes.where(F.col("n") * F.col("p") > max_local_values).collect()]
     schema = _result_schema(rows, models, keys)
@@ -203,15 +206,17 @@ def _fit_distributed(
     rows = rows.persist()
     fits = []
     specs["_p"] = [by_key[tuple(r)]["p"] for r in specs[keys].itertuples(index=False)]
-    for _, same in specs.groupby([*SETTINGS, "balanced", "_p"], dropna=False):
-        p = int(same["_p"].iloc[0])
-        width = max(1, MAX_DRIVER_VALUES // (p + 1))
+    specs["_r2"] = [by_key[tuple(r)]["r2"] for r in specs[keys].itertuples(index=False)]
+    for _, same in specs.groupby([*SETTINGS, "balanced", "_p", "_r2"], dropna=False):
+        p, largest_row = int(same["_p"].iloc[0]), float(same["_r2"].iloc[0])
+        # weights of all trial lengths, and the curvature of models that sum it up
+        values = (p + 1) * (len(LINE_LENGTHS) + (p + 1 if p < DIRECT_FEATURES else 1))
+        width = max(1, MAX_DRIVER_VALUES // values)
         for start in range(0, len(same), width):
             batch = same.iloc[start:start + width].reset_index(drop=True)
             owners = [tuple(r) for r in batch[keys].itertuples(index=False)]
             drawn = np.array([float(by_key[o]["drawn"]) for o in owners])
-            batch["max_iter"] = np.minimum(batch["max_iter"], DISTRIBUTED_MAX_ITER)
-            problem = _problem(batch, drawn, p)
+            problem = _problem(batch, drawn, p, largest_row)
             evaluate = _job(rows, keys, owners, by_key, bool(batch["balanced"].iloc[0]), problem.loss, p)
             fits.append(batch[keys].join(_result(batch, solve(problem, evaluate))))
     rows.unpersist()
@@ -223,15 +228,15 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], sizes: dict, bal
     """An ``evaluate`` that runs one Spark job: partial sums per (partition, model), then a keyed sum."""
     spark = rows.sparkSession
 
-    def evaluate(w: np.ndarray, which: np.ndarray, delta: float, curvature: bool):
+    def evaluate(w: np.ndarray, which: np.ndarray, delta: float, curvature: bool, along: np.ndarray | None = None):
         loss = "quadratic" if delta < 0 else loss_name
         asked: dict[tuple, list[int]] = defaultdict(list)
         for slot, model in enumerate(which):
             asked[owners[model]].append(slot)
-        shared = spark.sparkContext.broadcast((w, dict(asked)))
+        shared = spark.sparkContext.broadcast((w, dict(asked), along))
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights, slots_of = shared.value
+            weights, slots_of, vectors = shared.value
             sums: dict[int, np.ndarray] = {}
             for pdf in batches:
                 for key, group in pdf.groupby(keys):
@@ -246,9 +251,10 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], sizes: dict, bal
                         s = s * np.where(y01 == 1, n / (2.0 * pos), n / (2.0 * (n - pos)))
                     x = np.vstack([np.asarray(r, dtype=np.float64) for r in group["x"]])
                     x = np.column_stack([x, np.ones(len(x))])
-                    total, grad, bend = batch_sums(x, 2.0 * y01 - 1.0, s, weights[slots], loss, delta, curvature)
+                    turned = None if vectors is None else vectors[slots]
+                    total, grad, bend = batch_sums(x, 2.0 * y01 - 1.0, s, weights[slots], loss, delta, curvature, turned)
                     for i, slot in enumerate(slots):
-                        vector = [total[i:i + 1], grad[i]] + ([bend[i].ravel()] if curvature else [])
+                        vector = [total[i:i + 1], grad[i]] + ([] if bend is None else [bend[i].ravel()])
                         vector = np.concatenate(vector)
                         sums[slot] = vector if slot not in sums else sums[slot] + vector
             if sums:
@@ -259,11 +265,11 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], sizes: dict, bal
             per_part.select("slot", F.posexplode("vector").alias("pos", "value"))
             .groupBy("slot", "pos").agg(F.sum("value").alias("value")).toPandas()
         )
-        shared.unpersist()
-        width = 1 + (p + 1) + ((p + 1) ** 2 if curvature else 0)
+        shared.destroy()
+        width = 1 + (p + 1) * (1 + (p + 1 if curvature else along is not None))
         out = np.zeros((len(which), width))
         out[summed["slot"].to_numpy(), summed["pos"].to_numpy()] = summed["value"].to_numpy()
-        bend = out[:, p + 2:].reshape(len(which), p + 1, p + 1) if curvature else None
+        bend = out[:, p + 2:] if along is not None else out[:, p + 2:].reshape(len(which), p + 1, p + 1) if curvature else None
         return out[:, 0], out[:, 1:p + 2], bend
 
     return evaluate
@@ -277,7 +283,7 @@ def weights_table(fits: DataFrame, axis: DataFrame, keys: Sequence[str]) -> Data
     ).select(*keys, "model", F.col("c.feature_ids").alias("feature_id"), F.col("c.coef").alias("weight"))
 
 
-SCORE_BLOCK = 20_000
+SCORE_VALUES = 4_000_000  # rows x features of one block
 
 
 def score_models(rows: DataFrame, fits: DataFrame, keys: Sequence[str], counts: bool = True) -> DataFrame:
@@ -288,7 +294,7 @@ def score_models(rows: DataFrame, fits: DataFrame, keys: Sequence[str], counts:
     bounded size, each of which meets the models of its key once.
     """
     keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SCORE_BLOCK).cast("int").alias("_blocks"))
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("x")) / SCORE_VALUES)).cast("int").alias("_blocks"))
     cut = rows.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("sample_id"), F.col("_blocks")).cast("int"))
     cut = cut.select(*keys, "_block", "role", "sample_id", "y", "x")
     wide = fits.join(sizes, keys).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

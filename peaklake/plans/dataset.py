@@ -67,6 +67,15 @@ def sample_vectors(
     return row_vectors(cells, samples, axis), axis
 
 
+def require_classes(members: DataFrame, pairs: Sequence[tuple[str, str]]) -> None:
+    """Raise, naming the comparisons, unless every pair has train samples of both labels."""
+    found = {(r["pair"], r["y"]) for r in members.groupBy("pair", "y").count().collect()}  # two rows per pair
+    named = members.sparkSession.range(1).select(*[pair_label(*p).alias(str(i)) for i, p in enumerate(pairs)]).first()
+    lacking = [f"{name} has no {pairs[i][y]!r}" for i, name in enumerate(named) for y in (0, 1) if (name, y) not in found]
+    if lacking:
+        raise ValueError("train samples are missing: " + "; ".join(lacking))
+
+
 def pair_matrix(
     star: Star, study: Study, missingness: MissingnessFilter | None, with_test: bool, stage: Stage
 ) -> Matrix:
@@ -82,7 +91,9 @@ def pair_matrix(
     if with_test:
         test = members.where("test_split").withColumn("fold", F.lit(None).cast("int"))
         train = train.unionByName(test)
-    matrix = keyed_matrix(vectors, axis, stage(train, "members"), ["pair"])
+    train = stage(train, "members")
+    require_classes(train.where(~F.col("test_split")), study.pairs)
+    matrix = keyed_matrix(vectors, axis, train, ["pair"])
     if missingness is not None and missingness.min_prop is not None:
         kept = filter_groupwise_missingness(
             matrix, missingness.group_cols or (study.label_col,), missingness.min_prop, missingness.min_group_n,

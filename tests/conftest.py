@@ -14,10 +14,8 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     from checks.compare import session
 
-    spark = session()
+    spark = session(folder=str(tmp_path_factory.mktemp("checkpoint")))
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint")))
     yield spark
     spark.stop()
 

@@ -153,3 +153,71 @@ def test_scores_and_predictions_agree(spark, data):
     pred = score_models(df, fits, ["ds"], counts=False).collect()
     assert len(pred) == N and sum(r.y == 1 and r.pred == 1 for r in pred) == counts.tp
     assert counts.tp + counts.fp + counts.fn + counts.tn == N
+
+
+def wide_rows(spark, n, p, seed=5):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    y = (x[:, :20] @ rng.normal(size=20) + rng.normal(size=n) > 0).astype(int)
+    rows = [("d", f"{i:04d}", "train", int(y[i]), x[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "ds string, sample_id string, role string, y int, x array<double>").cache()
+
+
+def placed(spark, *sets):
+    """One model for each (name, kind, number of leading features, options)."""
+    out = None
+    for name, kind, p, options in sets:
+        row = spark.range(1).select(
+            F.lit("d").alias("ds"), F.lit(name).alias("model"), F.sequence(F.lit(0), F.lit(p - 1)).alias("positions"), *model_spec(kind, **options)
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["svc", "logistic"])
+def test_any_width_converges_and_ignores_its_neighbours(spark, kind):
+    df = wide_rows(spark, 200, 1000)
+    sets = [(str(p), kind, p, {"C": 0.5}) for p in (50, 200, 256, 257, 1000)]
+    together = {r.model: r for r in fit_linear(df, placed(spark, *sets), ["ds"]).collect()}
+    assert all(r.converged for r in together.values())
+    for one in (sets[0], sets[3]):
+        alone = fit_linear(df, placed(spark, one), ["ds"]).first()
+        np.testing.assert_allclose(alone.coef, together[one[0]].coef, atol=1e-6)
+
+
+def test_both_ways_of_a_newton_system_agree(spark, monkeypatch):
+    from peaklake.operators import descent
+
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=(90, 40)), np.ones(90)])
+    y = np.where(x[:, :3].sum(axis=1) + rng.normal(size=90) > 0, 1.0, -1.0)
+    problem = descent.Problem("hinge", np.zeros(2), np.array([0.05, 0.5]), np.ones((2, 41)), 1e-7, 200)
+    evaluate = lambda w, which, delta, curvature, along=None: descent.batch_sums(
+        x, y, np.full(90, 1 / 90), w, "hinge", delta, curvature, along
+    )
+    direct = descent.solve(problem, evaluate)
+    monkeypatch.setattr(descent, "DIRECT_FEATURES", 0)
+    free = descent.solve(problem, evaluate)
+    assert direct.converged.all() and free.converged.all()
+    np.testing.assert_allclose(direct.weights, free.weights, atol=1e-6)
+
+
+def test_large_keys_at_default_tolerance(spark):
+    df = wide_rows(spark, 60, 300)
+    specs = placed(spark, ("log", "logistic", 300, {"C": 0.05}))
+    here = fit_linear(df, specs, ["ds"]).first()
+    there = fit_linear(df.coalesce(2), specs, ["ds"], max_local_values=1).first()
+    assert here.converged and there.converged
+    np.testing.assert_allclose(here.coef, there.coef, atol=1e-7)
+
+
+def test_large_keys_take_the_steps_they_are_given(spark):
+    df = wide_rows(spark, 40, 30)
+    specs = placed(spark, ("svm", "l1_svm", 30, {"lam": 0.01, "accelerate": False, "tol": 1e-12, "max_iter": 520}))
+    here = fit_linear(df, specs, ["ds"]).first()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    there = fit_linear(df.coalesce(1), specs, ["ds"], max_local_values=1).first()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert here.n_steps == there.n_steps == 520
+    np.testing.assert_allclose(here.coef, there.coef, atol=1e-9)
