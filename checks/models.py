@@ -186,7 +186,18 @@ def borderline_smote(fx):
     return _row_sums(smote(_labelled(fx), ["pair"], stage=Workspace(fx.spark, "smote").stage))
 
 
-@query()
+# SMOTE on the rows that under-sampling keeps, beside these rows themselves.
+RESAMPLE_SQL = (
+    EMBED_SQL + """,
+taken AS (SELECT pair, sample_id, y, embedding FROM (
+  SELECT *, row_number() OVER (PARTITION BY pair, y ORDER BY md5(concat('42|', pair, '|', sample_id)), sample_id) AS r FROM sized)
+  WHERE n <= 5 * n_other OR r <= round_even(5.0::DOUBLE * n_other, 0))"""
+    + SMOTE_SQL.removeprefix(EMBED_SQL).replace(" emb ", " taken ") + """
+UNION ALL SELECT pair, sample_id, y, round(list_sum(CAST(embedding AS DOUBLE[])), 6), round(CAST(embedding[1] AS DOUBLE), 6) FROM taken"""
+)
+
+
+@query(RESAMPLE_SQL)
 def resample(fx):
     """Under-sample to 5:1, then balance with synthetic rows."""
     stage = Workspace(fx.spark, "resample").stage
@@ -267,9 +278,11 @@ SELECT g1.pair, CAST(g1.i AS BIGINT) AS i, round(sign(w - step * g) * greatest(a
 FROM g1 JOIN w1 ON w1.pair = g1.pair AND w1.i = g1.i JOIN steps ON steps.pair = g1.pair
 """)
 def svm_two_steps(fx):
-    """The second proximal step."""
-    rows, steps, weights = _first_step(fx)
-    return _listed(V.proximal_step(rows, weights, steps, ["pair"], LAMBDA), "w")
+    """The solver's own plain steps, two of them."""
+    rows = Workspace(fx.spark, "svm").stage(one_against_rest(fx), "rows")
+    spec = model_spec("l1_svm", lam=LAMBDA, accelerate=False, max_iter=2)
+    models = rows.select("pair").distinct().select("pair", F.lit("m").alias("model"), F.lit(None).cast("array<int>").alias("positions"), *spec)
+    return _listed(fit_linear(rows, models, ["pair"]), "coef")
 
 
 @query(SVM_SQL + "SELECT l.pair, l.sample_id, round(sum(v * w) + max(b), 9) AS decision FROM longform l JOIN w1 ON w1.pair = l.pair AND w1.i = l.i "
