@@ -34,8 +34,6 @@ cells AS (
          CAST(sum(price) AS DOUBLE) AS area, CAST(sum(qty) AS DOUBLE) AS rt, CAST(sum(tax) AS DOUBLE) AS mz
   FROM lines GROUP BY 1, 2)
 """
-N_NATIONS = 25  # rows of the nation table: the columns of the wide list
-
 
 def nation_cells(fx: Fixtures) -> DataFrame:
     customers = fx.table("customer").select("c_custkey", "c_nationkey")
@@ -59,9 +57,10 @@ def column_name(nation: int, measure: str) -> str:
 
 def wide_peaklist(fx: Fixtures) -> DataFrame:
     cells = nation_cells(fx)
+    nations = [r[0] for r in fx.table("nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     columns = [
         F.max(F.when(F.col("c_nationkey") == n, F.col(m))).alias(column_name(n, m))
-        for n in range(N_NATIONS)
+        for n in nations
         for m in S.MEASURES
     ]
     mz, rt = F.round(F.avg("mz"), 6).alias("mz"), F.round(F.avg("rt"), 6).alias("rt")

@@ -41,14 +41,14 @@ def join_column_map(fx):
 
 
 @query(SUPPLIER_SQL + """
-SELECT coalesce(a.id, b.id) AS id, a.q, b.price
-FROM (SELECT id, q FROM wide WHERE flag = 'A') a FULL JOIN (SELECT id, price FROM wide WHERE flag = 'R') b ON a.id = b.id
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.flag, b.flag) AS flag, a.q, b.price
+FROM (SELECT id, flag, q FROM wide WHERE flag <> 'R') a FULL JOIN (SELECT id, flag, price FROM wide WHERE flag <> 'A') b ON a.id = b.id AND a.flag = b.flag
 """)
 def join_full_outer_measures(fx):
     wide = supplier_wide(fx)
-    left = wide.where(F.col("flag") == "A").select("id", "q")
-    right = wide.where(F.col("flag") == "R").select("id", "price")
-    return left.join(right, "id", "full")
+    left = wide.where(F.col("flag") != "R").select("id", "flag", "q")
+    right = wide.where(F.col("flag") != "A").select("id", "flag", "price")
+    return left.join(right, ["id", "flag"], "full")
 
 
 @query(SQL + """
@@ -62,10 +62,10 @@ def semi_valid_samples(fx):
 
 @query(SQL + """
 SELECT p.p_partkey AS feature_id, coalesce(n, 0) AS n_obs FROM part p
-LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) c ON c.l_partkey = p.p_partkey
+LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) c ON c.l_partkey = p.p_partkey
 """)
 def join_feature_counts(fx):
-    lines = fx.table("lineitem").where(F.col("l_returnflag") == "R")
+    lines = fx.table("lineitem")
     counts = lines.groupBy(F.col("l_partkey").alias("feature_id")).agg(F.count(F.lit(1)).alias("n_obs"))
     return J.join_feature_counts(fx.table("part").select(F.col("p_partkey").alias("feature_id")), counts)
 
@@ -449,12 +449,14 @@ def except_sample_ids(fx):
 
 
 @query(SQL + """
-SELECT pair, count(*) AS n_train, sum(y) AS n_positive FROM members WHERE NOT test_split GROUP BY pair
-""".replace("sum(y)", "CAST(sum(y) AS BIGINT)"))
+SELECT pair, count(*) AS n, count(*) FILTER (NOT test_split) AS n_train, CAST(sum(y) AS BIGINT) AS n_positive FROM members GROUP BY pair
+""")
 def union_results(fx):
     """Results of all pairs from one plan keyed by pair."""
-    members = pair_membership(fx.samples, STANDARD_PAIRS).where(~F.col("test_split"))
-    return members.groupBy("pair").agg(F.count(F.lit(1)).alias("n_train"), F.sum("y").alias("n_positive"))
+    members = pair_membership(fx.samples, STANDARD_PAIRS)
+    return members.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("test_split")).alias("n_train"), F.sum("y").alias("n_positive")
+    )
 
 
 @query(SQL + "SELECT sample_id, condition FROM fx_samples WHERE NOT test_split OR test_split")
@@ -465,9 +467,9 @@ def union_distinct_samples(fx):
 
 @query(WEIGHTS_SQL + """
 SELECT DISTINCT pair, feature_id FROM weights WHERE abs(weight) > 6::DOUBLE
-  AND feature_id IN (SELECT CAST(p_size AS BIGINT) FROM part WHERE p_retailprice > 950)
+  AND feature_id IN (SELECT CAST(p_size AS BIGINT) FROM part)
 """)
 def union_feature_set(fx):
-    kept = fx.table("part").where(F.col("p_retailprice") > 950).select(F.col("p_size").cast("bigint").alias("feature_id"))
+    kept = fx.table("part").select(F.col("p_size").cast("bigint").alias("feature_id"))
     chosen = weights(fx).where(F.abs("weight") > 6).select("pair", "feature_id").distinct()
     return chosen.join(kept, "feature_id", "left_semi")
