@@ -131,20 +131,42 @@ def _postings(buckets: int):
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             packed = _pack(h, c)
             full = np.flatnonzero(np.diff(cuts))
+            blobs = [packed[cuts[b] : cuts[b + 1]].tobytes() for b in full]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([packed[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64())],
-                ["bucket", "blob", "cls", "credit"],
+                [pa.array(full.astype(np.int32)), pa.nulls(len(full), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part", "blob"]
             )
             if len(owners):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(owners), pa.int32()), pa.nulls(len(owners), pa.binary()), _signed(owners), pa.array(credits.astype(np.int64))],
-                    ["bucket", "blob", "cls", "credit"],
-                )
+                of, data = _credit_blobs(owners, credits, buckets)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int32()), of, data], ["bucket", "part", "blob"])
 
     return run
 
 
-def _credits(group: pa.Table) -> pa.Table:
+_CREDIT = np.dtype([("cls", "<u8"), ("credit", "<i8")])
+
+
+def _credit_blobs(owners: np.ndarray, credits: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """Credits of sorted classes, packed by range of class."""
+    rows = np.empty(len(owners), _CREDIT)
+    rows["cls"], rows["credit"] = owners, credits
+    part = ((owners >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return pa.array(full.astype(np.int32)), pa.array([rows[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """Credits of the classes of one range over all buckets."""
+    rows = np.frombuffer(b"".join(group.column("blob").to_pylist()), _CREDIT)
+    owners, at = np.unique(rows["cls"], return_inverse=True)
+    return pa.table({"cls": _signed(owners), "credit": pa.array(np.bincount(at, rows["credit"]).astype(np.int64))})
+
+
+def _credits(parts: int):
+    return lambda group: _bucket_credits(group, parts)
+
+
+def _bucket_credits(group: pa.Table, parts: int) -> pa.Table:
     """How many shingles of each class in one bucket occur in another class as well."""
     h, c = _unpack(b"".join(group.column("blob").to_pylist()))
     order = np.lexsort((c, h))
@@ -154,8 +176,8 @@ def _credits(group: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     count = np.diff(np.append(begin, len(h)))
     shared = np.repeat((count > 1) | (c[begin] == _MANY), count) & (c != _MANY)
-    owners, credits = np.unique(c[shared], return_counts=True)
-    return pa.table({"cls": _signed(owners), "credit": pa.array(credits.astype(np.int64))})
+    of, data = _credit_blobs(*np.unique(c[shared], return_counts=True), parts)
+    return pa.table({"part": of, "blob": data})
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +251,13 @@ def _lengths_fit(n: str, m: str) -> Column:
     return (F.least(n, m) * 100) >= (F.greatest(n, m) * PERCENT)
 
 
+def _positions_fit(n: str, pos: str, m: str, other: str) -> Column:
+    """Positional filter: what follows a pair's first common shingle on either side, it included, reaches the overlap
+    that the pair needs. Rows of later common shingles may fall too; the first one of a linked pair never does."""
+    rest = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other))
+    return rest * (100 + PERCENT) >= (F.col(n) + F.col(m)) * PERCENT
+
+
 def _prefixes(sets: DataFrame, work) -> DataFrame:
     """(h, cls, n, u, pos): prefix shingles that occur in several classes; u counts those of the class alone."""
     tokens = sets.mapInArrow(_tokens, "cls bigint, n bigint, h bigint")
@@ -248,10 +277,11 @@ def _hub_pairs(prefixes: DataFrame) -> DataFrame:
     The hub of a list is the class with the smallest share of shingles of its own: edits add such, so it is the origin
     of a group of edited copies.
     """
-    hubs = prefixes.groupBy("h").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("cls").alias("hub"), F.col("n").alias("hn"))).alias("top"), F.count(F.lit(1)).alias("k"))
-    hubs = hubs.where("k > 1").select("h", "top.hub", "top.hn")
+    hubs = prefixes.groupBy("h").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("cls").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))).alias("top"), F.count(F.lit(1)).alias("k"))
+    hubs = hubs.where("k > 1").select("h", "top.hub", "top.hn", "top.hpos")
     met = prefixes.join(hubs, "h").where(F.col("cls") != F.col("hub")).where(_lengths_fit("n", "hn"))
-    best = met.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("k")).groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("best"))
+    fits = F.bool_or(_positions_fit("n", "pos", "hn", "hpos")).alias("fits")
+    best = met.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("k"), fits).where("fits").groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("best"))
     return best.select(F.col("cls").alias("a"), F.col("best.hub").alias("b"))
 
 
@@ -266,17 +296,11 @@ def _open_pairs(prefixes: DataFrame, comps: DataFrame) -> DataFrame:
     some = mixed.where("root <> main").select("h", *[F.col(c).alias(f"{c}1") for c in ("cls", "n", "pos", "root")])
     others = mixed.select("h", "main", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "pos", "root")])
     met = some.join(others, "h").where("root1 <> root2").where((F.col("root2") == F.col("main")) | (F.col("cls1") < F.col("cls2")))
-    met = met.where(_lengths_fit("n1", "n2"))
+    met = met.where(_lengths_fit("n1", "n2") & _positions_fit("n1", "pos1", "n2", "pos2"))
     first = F.col("cls1") < F.col("cls2")
 
-    def pick(c):
-        return F.when(first, F.col(f"{c}1")).otherwise(F.col(f"{c}2")), F.when(first, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
-
-    (a, b), (na, nb), (pa_, pb) = pick("cls"), pick("n"), pick("pos")
-    pairs = met.select(a.alias("a"), b.alias("b"), na.alias("na"), nb.alias("nb"), pa_.alias("pa"), pb.alias("pb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return pairs.where(most * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT).select("a", "b")
+    a, b = (F.when(first, x).otherwise(y) for x, y in ((F.col("cls1"), F.col("cls2")), (F.col("cls2"), F.col("cls1"))))
+    return met.select(a.alias("a"), b.alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,10 +329,11 @@ def _class_components(source: DataFrame, classes: DataFrame, work) -> DataFrame:
     """(node, root) of the classes that link with another one."""
     sampled = classes.agg(F.sum("s")).first()[0] or 0
     buckets = max(1, -(-sampled // BUCKET_POSTINGS))
-    postings = source.select("t").mapInArrow(_postings(buckets), "bucket int, blob binary, cls bigint, credit bigint")
+    postings = source.select("t").mapInArrow(_postings(buckets), "bucket int, part int, blob binary")
     postings = work.stage(postings, "postings")
-    met = postings.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_credits, "cls bigint, credit bigint")
-    credit = met.unionByName(postings.where("cls is not null").select("cls", "credit")).groupBy("cls").agg(F.sum("credit").alias("credit"))
+    met = postings.where("bucket is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(_credits(buckets), "part int, blob binary")
+    credit = met.unionByName(postings.where("part is not null").select("part", "blob"))
+    credit = credit.groupBy("part").applyInArrow(_summed, "cls bigint, credit bigint")
     least = F.col("s") - (F.col("n") - least_overlap(F.col("n")))
     survivors = classes.join(credit, "cls", "left").where(F.coalesce("credit", F.lit(0)) >= least).select("rep")
     survivors = broadcast_if_small(work.stage(survivors.distinct(), "survivors"))
