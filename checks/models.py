@@ -8,7 +8,8 @@ from checks.stats import EMBED_SQL, one_against_rest
 from peaklake.functions.vectors import has_gap, linear_decision
 from peaklake.functions.vectors import linear_predict as sign_of
 from peaklake.operators.columns import train_rows
-from peaklake.operators.matrix import Matrix
+from peaklake.config import STANDARD_PAIRS
+from peaklake.operators.matrix import Matrix, feature_axis, keyed_matrix, row_vectors
 from peaklake.operators.neighbors import borderline_smote as smote
 from peaklake.operators.neighbors import knn_impute as impute
 from peaklake.operators.neighbors import nearest_donor_values, nearest_rows
@@ -20,6 +21,7 @@ from peaklake.operators.solver import fit_linear, model_spec, score_models
 from peaklake.operators import svm_terms as V
 from peaklake.operators.metrics import metric_columns, METRICS
 from peaklake.plans.dataset import make_dataset as build_dataset
+from peaklake.plans.dataset import pair_membership
 from peaklake.workspace import Workspace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -336,3 +338,38 @@ def l2_logistic(fx):
 @query()
 def linear_svc(fx):
     return _one_per_label(fx, "svc", C=1.0)
+
+
+def wide_rows(fx: Fixtures) -> DataFrame:
+    """pair, sample_id, y, x of all comparisons over brand x size: far more features than samples of a class."""
+    cells = fx.abundances_by(fx.brand * 100 + F.col("p_size")).select(
+        "sample_id", "feature_id", F.log2(1.0 + F.col("area")).alias("value")
+    )
+    stage = Workspace(fx.spark, "wide-rows").stage
+    axis = stage(feature_axis(cells.select("feature_id").distinct()), "axis")
+    vectors = row_vectors(stage(cells, "cells"), fx.samples.select("sample_id"), axis)
+    members = pair_membership(fx.samples, STANDARD_PAIRS).select("pair", "sample_id", "y", "condition", "test_split")
+    rows = keyed_matrix(vectors, axis, members, ["pair"]).rows.where(~F.col("test_split"))
+    return stage(rows.select("pair", "sample_id", "y", F.transform("x", lambda v: F.coalesce(v, F.lit(0.0))).alias("x")), "rows")
+
+
+def _wide(fx: Fixtures, kind: str) -> DataFrame:
+    rows = wide_rows(fx).withColumn("role", F.lit("train"))
+    models = rows.select("pair").distinct().select(
+        "pair", F.lit(kind).alias("model"), F.lit(None).cast("array<int>").alias("positions"), *model_spec(kind, C=0.001)
+    )
+    fits = Workspace(fx.spark, f"wide-{kind}").stage(fit_linear(rows, models, ["pair"]), "fits")
+    scores = score_models(rows, fits, ["pair"]).select("pair", *metric_columns())
+    return fits.join(scores, "pair").select(
+        "pair", F.size("coef").alias("n_features"), "converged", F.round("intercept", 4).alias("intercept"), *[F.round(m, 6).alias(m) for m in METRICS]
+    )
+
+
+@query()
+def l2_logistic_wide(fx):
+    return _wide(fx, "logistic")
+
+
+@query()
+def linear_svc_wide(fx):
+    return _wide(fx, "svc")
