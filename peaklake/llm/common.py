@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,3 +40,17 @@ BROADCAST_ROWS = 500_000
 def broadcast_if_small(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a staged, narrow side for broadcast if it has at most ``rows`` rows; beyond that the join is shuffled."""
     return F.broadcast(side) if side.count() <= rows else side
+
+
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Jobs started inside send at most ``rows`` rows at once to Python: for rows of whole texts or sets."""
+    before = spark.conf.get(ROWS_KEY)
+    spark.conf.set(ROWS_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ROWS_KEY, before)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from peaklake.llm.common import broadcast_if_small, text_or_empty, workspace
+from peaklake.llm.common import arrow_rows, broadcast_if_small, text_or_empty, workspace
 from peaklake.llm.wordhash import in_batches, mix, shingle_hashes, word_hashes
 
 PERCENT = 80
@@ -109,35 +109,42 @@ def _postings(buckets: int):
     """Sampled shingles as packed postings by bucket; classes of shingles already known as shared are credited here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, cls, seen, held = [], [], set(), 0
         for batch in batches:
-            texts, hashes, cls, seen = batch.column(0).to_pylist(), [], [], set()
+            texts = batch.column(0).to_pylist()
             for low, high in in_batches(texts):
                 sets = Sets(texts[low:high])
                 fresh = np.array([c not in seen and not seen.add(c) for c in sets.cls.tolist()])
                 take = sets.sampled & fresh[sets.owner]
                 hashes.append(sets.hashes[take])
                 cls.append(sets.cls[sets.owner[take]])
-            if not hashes or not sum(map(len, hashes)):
-                continue
-            h, c = np.concatenate(hashes), np.concatenate(cls)
-            order = np.argsort(h)
-            h, c = h[order], c[order]
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            count = np.diff(np.append(begin, len(h)))
-            shared = np.repeat(count > 1, count)
-            owners, credits = np.unique(c[shared], return_counts=True)
-            h, c = h[begin], np.where(count > 1, _MANY, c[begin])
-            bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with h
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            packed = _pack(h, c)
-            full = np.flatnonzero(np.diff(cuts))
-            blobs = [packed[cuts[b] : cuts[b + 1]].tobytes() for b in full]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.nulls(len(full), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part", "blob"]
-            )
-            if len(owners):
-                of, data = _credit_blobs(owners, credits, buckets)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int32()), of, data], ["bucket", "part", "blob"])
+                held += len(hashes[-1])
+            if held > BUCKET_POSTINGS:
+                yield from packed(hashes, cls)
+                hashes, cls, seen, held = [], [], set(), 0
+        if held:
+            yield from packed(hashes, cls)
+
+    def packed(hashes: list[np.ndarray], cls: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, c = np.concatenate(hashes), np.concatenate(cls)
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(begin, len(h)))
+        shared = np.repeat(count > 1, count)
+        owners, credits = np.unique(c[shared], return_counts=True)
+        h, c = h[begin], np.where(count > 1, _MANY, c[begin])
+        bucket = ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)  # rises with h
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = _pack(h, c)
+        full = np.flatnonzero(np.diff(cuts))
+        blobs = [rows[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full.astype(np.int32)), pa.nulls(len(full), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part", "blob"]
+        )
+        if len(owners):
+            of, data = _credit_blobs(owners, credits, buckets)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int32()), of, data], ["bucket", "part", "blob"])
 
     return run
 
@@ -310,6 +317,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _linked_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """As ``link_components``, with ``x``, a hash that tells texts under one id apart."""
+    with arrow_rows(docs.sparkSession):
+        return _linked_in_batches(docs, id_col, text_col)
+
+
+def _linked_in_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     work = workspace(docs.sparkSession, "jaccard-join")
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     key = source.schema["id"].dataType.simpleString()
