@@ -14,8 +14,9 @@ a hash of their texts; empty tables make no files; extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,10 @@ from peaklake.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 19  # of each of two generations
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BATCH_TEXTS = 256
+OTHER_SPACE = re.compile("[\t\v-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Tokens:
@@ -40,7 +43,7 @@ class Tokens:
 
     Texts are cut before single spaces and at single line ends, where byte-level pre-tokenization cuts too; parts seen
     before are looked up. Texts with adjacent white space or with the string of an added token go to the tokenizer
-    whole. The memo is emptied when it is full, which changes no result.
+    whole, as do texts with other white space than spaces and line ends. A full memo becomes the old one, from which words in use are taken over; that changes no result.
     """
 
     def __init__(self, path: str):
@@ -48,31 +51,26 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", "᠎", *added]))
-        self.heads: dict[str, bytes] = {"": b""}
-        self.rest: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.joined = ("  ", " \n", "\n ", "\n\n", *added)
+        self.heads, self.rest = _Memo(self, ""), _Memo(self, " ")
         self.line = self._ids(["\n"])[0]
         self.end = np.array([END_ID], self.dtype).tobytes()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
-    def _learn(self, memo: dict[str, bytes], parts: set[str], prefix: str) -> None:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            memo.update({"": b""} if not prefix else {})
-        new = [p for p in parts if p not in memo]
-        memo.update(zip(new, self._ids([prefix + p for p in new]), strict=True))
+    def _whole(self, text: str) -> bool:
+        return any(j in text for j in self.joined) or OTHER_SPACE.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id."""
-        cut = [None if self.whole.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        cut = [None if self._whole(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         lines = [line for doc in cut if doc for line in doc]
-        self._learn(self.heads, {line[0] for line in lines}, "")
-        self._learn(self.rest, set().union(*(line[1:] for line in lines)), " ")
-        heads, rest = self.heads, self.rest.__getitem__
+        heads = self.heads.learn({line[0] for line in lines})
+        rest = self.rest.learn(set().union(*(line[1:] for line in lines))).__getitem__
         out = []
         for text, doc in zip(texts, cut, strict=True):
             if doc is None:
@@ -83,6 +81,41 @@ class Tokens:
         return out
 
 
+class _Memo:
+    """Ids of ``prefix`` + part. Letters followed by marks are cut between the two, as pre-tokenization does."""
+
+    def __init__(self, tokens: Tokens, prefix: str):
+        self.ids, self.prefix = tokens._ids, prefix
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.ends = frozenset(MARKS)
+
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """A table that has all of ``parts``."""
+        if len(self.now) > MEMO_WORDS:
+            self.old, self.now = self.now, {}
+        now = self.now
+        missing = parts.difference(now)
+        for p in missing & self.old.keys():
+            now[p] = self.old[p]
+        missing.difference_update(now)
+        cores = {p: core for p in missing if p[-1:] in self.ends and (core := p.rstrip(MARKS)).isalpha()}
+        new = [*missing.difference(cores), *set(cores.values()).difference(now)]
+        now.update(zip(new, self.ids([self.prefix + p for p in new]), strict=True))
+        for p, core in cores.items():
+            now[p] = now[core] + self._mark(p[len(core):])
+        return now
+
+    def _mark(self, marks: str) -> bytes:
+        found = self.marks.get(marks)
+        if found is None:
+            found = self.ids([marks])[0]
+            if len(self.marks) < 1 << 12:
+                self.marks[marks] = found
+        return found
+
+
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> Tokens:
     return Tokens(path)
@@ -96,6 +129,7 @@ def _blocks(path: str, key: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part, block = _tokens(path), TaskContext.get().partitionId(), 0
+        gc.disable()  # nothing here is cyclic, and a full collection walks the whole memo
         width, ids, data, held = tokens.dtype.itemsize, [], [], 0
 
         def flush() -> pa.RecordBatch:
