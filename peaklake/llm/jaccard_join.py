@@ -36,7 +36,7 @@ from peaklake.llm.wordhash import in_batches, mix, shingle_hashes, word_hashes
 
 PERCENT = 80
 SAMPLE_EIGHTHS = 3
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 500_000
 U = np.uint64
 _SECOND = U(0x8EBC6AF09C88C6E3)
 _POSTING = 13  # bytes: 40 bits of the shingle hash, 64 of the class

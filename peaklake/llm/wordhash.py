@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 SHINGLE = 5
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -53,7 +53,7 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(max(20, int(len(joined) + 1).bit_length()))
+    up, down = _powers(max(19, int(len(joined) + 1).bit_length()))
     sums = np.zeros(len(joined) + 1, U)
     np.cumsum(_VALUES[joined] * up[: len(joined)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
