@@ -32,7 +32,7 @@ from peaklake.llm.huffman import Code, code_lengths
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
-MEMO_WORDS = 1 << 19  # of each of two generations
+MEMO_WORDS = 1 << 18  # of each of two generations
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BATCH_TEXTS = 256
 OTHER_SPACE = re.compile("[\t\v-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
