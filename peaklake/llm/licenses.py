@@ -21,10 +21,21 @@ from peaklake.llm.common import text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Applied in this order to the lower-cased text; each is understood alike by Java and by RE2.
+#: What follows the word in running text, as opposed to a year, a sign or a name: such lines state no copyright.
+PROSE = (
+    "holders?|owners?|owned|ownership|notices?|licen[cs]\\w*|laws?|acts?|statements?|interests?|protect\\w*|infring\\w*|disclaimers?"
+    "|permissions?|rights?|claims?|grants?|registrations?|materials?|works?|treat(?:y|ies)|status|management"
+    "|and|or|in|to|of|on|is|are|as|for|with|under|the above|this|that|which|shall|must|may|will|not|you|your|if|any|all|each|every|no|use"
+)
+
+#: Applied in this order to the lower-cased text; each is understood alike by Java and by RE2. The first marks running
+#: text, so that the second takes only lines that state a copyright; the fourth joins lines, so that no later step
+#: depends on line breaks; the last removes the marks.
 STEPS = (
-    (r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", ""),
+    (rf"(\bcopyright[ \t\r\n*#/;-]+|\(c\)[ \t]+)({PROSE})\b", "\x01$1$2"),
+    (r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)([ \t:,\x01-]*([0-9<\[{©&]|\(c\)|\([0-9])|[ \t:]+([a-z]|[^\x00-\x7f]))[^\n]*$", ""),
     (r"(?m)^[ \t*#/;-]*all rights reserved[. ]*$", ""),
+    (r"[ \t\r]*\n[ \t\r\n*#/;-]*|[ \t]{2,}", " "),
     (r"\blicen[cs](e|es|ed|ing)\b", "licens$1"),
     (r"\bsub-?licen[cs]e\b", "sublicense"),
     (r"\bcopyright (owner|holder)s?\b", "copyright holder"),
@@ -38,6 +49,10 @@ STEPS = (
     (r"[\x00-/:-@\[-`{-\x7f]+", " "),
 )
 
+#: The form before, by which the SQL goes: it knows no statement from running text and joins no lines. Both agree on
+#: texts without lines that begin with a copyright and without spellings broken over two lines.
+SQL_STEPS = ((r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", ""), STEPS[2], *STEPS[4:])
+
 #: Names of licenses and the forms in which notices give them.
 NAMES = {
     "MIT": ("MIT License", "MIT"),
@@ -144,7 +159,7 @@ def oracle_sql() -> str:
 
     def canon(col: str) -> str:
         out = f"translate({col}, '{UPPER}', '{LOWER}')"
-        for pattern, to in STEPS:
+        for pattern, to in SQL_STEPS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
         return f"sha256(trim({out}))"
 
