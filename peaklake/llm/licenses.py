@@ -3,7 +3,7 @@
 A text is brought to a canonical form (case, lines that state a copyright, equivalent spellings, punctuation and white
 space), hashed whole, and hash-joined with the digests of known license texts, which went through the same form. The
 same lookup is made for every line of a document, because a notice is usually one line under other text. The table of
-known digests has some hundred rows, fixed by this module, so it is broadcast; documents stay where they are.
+known digests has some hundred rows, so it is broadcast; documents stay where they are.
 
 Defined results: a null text counts as empty; empty texts and lines match nothing; null and repeated ids and repeated
 rows give one row each; if two known texts share a canonical form, the alphabetically first name is reported; other
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from peaklake.llm.common import text_or_empty
 
+Texts = list[tuple[str, str]] | DataFrame | None
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What follows the word in running text, as opposed to a year, a sign or a name: such lines state no copyright.
@@ -107,13 +109,97 @@ use this software in a product, an acknowledgment in the product documentation w
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN
+NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = (
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+""",
+    """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+""",
+    """Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+""",
+    """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+""",
+)
+_GNU = """This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public
+License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.
+You should have received a copy of the GNU {kind}General Public License along with this {what}{end}"""
+_STREET = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+_URL = ". If not, see <https://www.gnu.org/licenses/>."
+
 
-def known_texts() -> list[tuple[str, str]]:
-    """(license, text) of all whole texts and of all notices, the latter made from the two tables above."""
+def _bsd(clauses: int, marks: tuple[str, ...]) -> str:
+    return _BSD[0] + "".join(m + " " + t for m, t in zip(marks, _BSD[1 : clauses + 1], strict=False)) + _WARRANTY
+
+
+def _gnu(kind: str, version: str, what: str, end: str) -> str:
+    old = end == _STREET
+    return _GNU.format(kind=kind, version=version, what=what, end=end, colon=";" if old else ":", comma=";" if old else ",")
+
+
+#: Further whole texts, and the standard notices of licenses whose text is long: several usual forms each.
+MORE_TEXTS = (
+    ("ISC", TEXTS["ISC"].replace("modify, and/or distribute", "modify, and distribute")),
+    *[(f"BSD-{k}-Clause", _bsd(k, marks)) for k in (2, 3) for marks in (("1.", "2.", "3."), ("*", "*", "*"), ("(1)", "(2)", "(3)"))],
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
+permissions and limitations under the License."""),
+    *[
+        (name, _gnu(kind, version, what, end))
+        for name, kind, version in (
+            ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"),
+        )
+        for what in ("program", "library") for end in (_STREET, _URL)
+    ],
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("CC0-1.0", """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this
+software to the public domain worldwide. This software is distributed without any warranty.
+You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see
+<https://creativecommons.org/publicdomain/zero/1.0/>."""),
+)
+
+#: Title lines beside the forms of ``NAMES``, each of those also with "The".
+TITLES = {
+    "MIT": ("The MIT License (MIT)", "MIT License (MIT)"),
+    "BSD-2-Clause": ("The 2-Clause BSD License", "BSD License"),
+    "BSD-3-Clause": ("The 3-Clause BSD License", "Modified BSD License", "BSD License"),
+    "ISC": ("ISC License (ISC)", "The ISC License (ISC)"),
+    "Zlib": ("zlib/libpng License", "The zlib/libpng License"),
+}
+
+
+def sql_texts() -> list[tuple[str, str]]:
+    """(license, text) of the first whole texts and of all notices, which the SQL knows."""
     made = [(name, notice.format(form)) for name, forms in NAMES.items() for form in forms for notice in NOTICES]
     return sorted(set(TEXTS.items()) | set(made))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text) of all whole texts, with and without a title line, and of all notices."""
+    bodies = {*TEXTS.items(), *MORE_TEXTS}
+    titled = {
+        (name, f"{title}\n{body}")
+        for name, body in bodies
+        for title in (*TITLES.get(name, ()), *NAMES[name], *[f"The {form}" for form in NAMES[name]])
+    }
+    return sorted(bodies | titled | set(sql_texts()))
+
+
 def canonical(text: Column) -> Column:
     out = F.translate(text, UPPER, LOWER)
     for pattern, to in STEPS:
@@ -125,19 +211,25 @@ def _digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
+def known_digests(spark: SparkSession, texts: Texts = None) -> DataFrame:
     """(digest, license): one row per canonical form."""
-    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in texts or known_texts()])
+    given = isinstance(texts, DataFrame)
+    pairs = known_texts() if given or not texts else texts
+    rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in pairs])
+    known = spark.range(1).select(F.inline(rows))
+    if given:
+        known = known.unionByName(texts.select("license", "text").where(F.length(canonical(F.col("text"))) > 0))
     return (
-        spark.range(1).select(F.inline(rows)).groupBy(_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+        known.groupBy(_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Texts = None) -> DataFrame:
     """One row per document: id, ``canonical_sha256``, ``license`` of the whole text and ``notices`` of its lines.
 
     ``license`` is null if the whole text is no known one; ``notices`` are the licenses named by lines, in
-    alphabetical order, comma-joined, each once. ``texts`` replaces the known texts; they must fit a broadcast.
+    alphabetical order, comma-joined, each once. A list of ``texts`` replaces the known texts; a table (license, text) comes on top of
+    them, for bodies that this module does not hold. They must fit a broadcast.
     """
     known = known_digests(docs.sparkSession, texts)
     whole = F.broadcast(known.select(F.col("digest").alias("canonical_sha256"), "license"))
@@ -163,7 +255,7 @@ def oracle_sql() -> str:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
         return f"sha256(trim({out}))"
 
-    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known_texts())
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sql_texts())
     return f"""WITH k AS (SELECT {canon('t')} AS digest, min(n) AS license FROM (VALUES {values}) v(n, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from peaklake.llm import licenses
 
-BODIES = sorted(licenses.TEXTS.items())
+BODIES = sorted({*licenses.TEXTS.items(), *licenses.MORE_TEXTS})
 
 
 def wrapped(text: str, width: int, lead: str = "") -> str:
@@ -23,7 +23,7 @@ def found(spark, texts: list[str]) -> list[tuple[str | None, str, str]]:
 
 
 def test_known_bodies_in_any_wrapping(spark):
-    texts = [(name, wrapped(body, w, lead)) for name, body in BODIES for w in (1, 9, *range(60, 84, 4), 10**6) for lead in ("", " * ")]
+    texts = [(name, wrapped(body, w, lead)) for name, body in BODIES for w in (1, 9, 70, 77, 10**6) for lead in ("", " * ")]
     assert [r[0] for r in found(spark, [t for _, t in texts])] == [name for name, _ in texts]
 
 
@@ -43,3 +43,19 @@ def test_statements_go(spark):
     body = licenses.TEXTS["MIT"]
     texts = [f"{line}\n{more}{body}" for line in STATEMENTS for more in ("\n", "All rights reserved.\n")]
     assert {r[0] for r in found(spark, texts)} == {"MIT"}
+
+
+def test_whole_files_with_title_and_copyright(spark):
+    titles = {
+        "MIT": "The MIT License (MIT)", "ISC": "ISC License", "Zlib": "zlib License", "BSD-2-Clause": "BSD 2-Clause License",
+        "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "Apache License, Version 2.0",
+    }
+    files = [(name, f"{titles[name]}\n\nCopyright (c) 2020, Jane Doe\nAll rights reserved.\n\n{body}\n") for name, body in BODIES if name in titles]
+    assert {n for n, _ in files} == set(titles)
+    assert [r[0] for r in found(spark, [t for _, t in files])] == [n for n, _ in files]
+
+
+def test_further_bodies_from_a_table(spark):
+    more = spark.createDataFrame([("X-1", "Do as you\nlike with this."), ("X-0", " ")], "license string, text string")
+    docs = spark.createDataFrame([(0, "do as you like\nwith this"), (1, licenses.TEXTS["MIT"]), (2, "")], "doc_id long, text string")
+    assert [r["license"] for r in licenses.scan(docs, texts=more).orderBy("doc_id").collect()] == ["X-1", "MIT", None]
