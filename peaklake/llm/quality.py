@@ -45,14 +45,17 @@ def _bin(part: float, bins: int = 10) -> int:
 
 
 def features(text: str) -> np.ndarray:
-    """Distinct feature numbers: lower-case words, short runs of marks, and binned style measures."""
+    """Distinct feature numbers: lower-case words, short runs of marks, and binned style measures over all tokens."""
     tokens = TOKEN.findall(text)
     words = set(map(str.lower, tokens))
     n = len(tokens)
-    letters = [t for t in tokens[:: max(1, n // 400)] if t[0].isalpha()]
+    letters = upper = 0
+    for t in tokens:
+        letters += t[0].isalpha()
+        upper += len(t) > 1 and t.isupper() and t[0].isalpha()
     style = (
-        f"\0upper{_bin(sum(t.isupper() and len(t) > 1 for t in letters) / max(1, len(letters)))}",
-        f"\0marks{_bin(1 - len(letters) / max(1, len(tokens[:: max(1, n // 400)])))}",
+        f"\0upper{_bin(upper / max(1, letters))}",
+        f"\0marks{_bin(1 - letters / max(1, n))}",
         f"\0distinct{_bin(len(words) / max(1, n))}",
         f"\0size{n.bit_length()}",
     )
