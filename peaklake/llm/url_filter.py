@@ -1,12 +1,14 @@
 """Operator 3: URL filter by a path-template tree.
 
 The paths of each host form a tree of segments. Level by level, variable segments become wildcards (numbers and long
-hex names ``#``; all children of a node that has too many, or hardly any page each, ``*``), and sibling branches whose
-labelled shares of good pages do not differ significantly are merged into one. What remains are templates; one is
-rejected if its smoothed share of good labelled pages is below a threshold. A given rule list goes first.
+hex names ``#``; where a node's children have hardly any page each, those without enough pages or labels of their own
+``*``), and sibling branches whose labelled shares of good pages do not differ significantly are merged into one. What
+remains are templates; one is rejected if its smoothed share of good labelled pages is below a threshold. A given rule
+list goes first.
 
 Everything works on a table of distinct (host, path) with counts: the groups are combined before they are shuffled, and
-a node hands at most ``MAX_CHILDREN`` branches to the window that merges, since larger ones are wildcards before.
+a node hands one row per smoothed purity to the window that merges, at most as many as pairs of counts can share its
+labels.
 
 Defined results: a null url or one without ``://`` has empty host and path and, like any other host, a template of its
 own; null and repeated page ids give one row each; labels of unknown pages count for nothing, several labels of one page
@@ -16,6 +18,7 @@ all count; without any labels nothing is rejected; an empty table gives no rows;
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +28,8 @@ from peaklake.llm.common import workspace
 from peaklake.llm.licenses import LOWER, UPPER
 
 DEPTH = 4  # the last level holds the rest of the path
-MAX_CHILDREN = 64
-FEW = 8  # from so many children on, fewer than two pages each are a variable segment
+NAMED = 64  # branches merged from more segments are named by the first of them, their number and a hash
+FEW = 8  # from so many children on, fewer than two pages each are a variable segment; so many pages or labels support a child
 STRENGTH = 8.0  # pseudo-labels at the global share
 DIFFERENT = 1.96  # two-proportion z
 THRESHOLD = 0.5
@@ -66,47 +69,68 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule], field) -> Colu
     return out
 
 
-def _segments(path: Column) -> list[Column]:
-    parts = [F.split_part(path, F.lit("/"), F.lit(i + 2)) for i in range(DEPTH - 1)]
-    parts.append(F.regexp_extract(path, "(?s)^" + "[^/]*/" * DEPTH + "(.*)$", 1))
-    return [F.when(p.rlike(NUMBER), "#").when(p != "", p).alias(f"s{i}") for i, p in enumerate(parts)]
+def _segment(path: Column, level: int) -> Column:
+    part = F.split_part(path, F.lit("/"), F.lit(level + 2))
+    if level == DEPTH - 1:
+        part = F.regexp_extract(path, "(?s)^" + "[^/]*/" * DEPTH + "(.*)$", 1)
+    return F.when(part.rlike(NUMBER), "#").when(part != "", part)
+
+
+def _levels(path: Column) -> Column:
+    """Number of segments up to the last one that is not empty."""
+    kept = F.rtrim(path, F.lit("/"))
+    return F.least(F.length(kept) - F.length(F.replace(kept, F.lit("/"), F.lit(""))), F.lit(DEPTH))
 
 
 def templates(sites: DataFrame) -> DataFrame:
     """(host, path, template, purity) of ``sites``: host, path, n, lab, good, staged."""
     work = workspace(sites.sparkSession, "url-templates")
-    totals = sites.agg(F.sum("lab").alias("lab"), F.sum("good").alias("good")).first()
+    totals = sites.agg(F.sum("lab").alias("lab"), F.sum("good").alias("good"), F.max(_levels(F.col("path"))).alias("deepest")).first()
     prior = totals["good"] / totals["lab"] if totals["lab"] else 1.0
-    rows = sites.select("host", "path", "n", "lab", "good", *_segments(F.col("path")), F.lit("").alias("t"))
-    for level in range(DEPTH):
-        rows = work.stage(_generalise(rows, f"s{level}", prior), f"level{level}")
+    rows = sites.select("host", "path", "n", "lab", "good", _levels(F.col("path")).alias("levels"), F.lit("").alias("t"))
+    ended = [rows.where("levels = 0")]
+    for level in range(totals["deepest"] or 0):
+        going = rows.where(F.col("levels") > level).withColumn("seg", _segment(F.col("path"), level))
+        rows = work.stage(_generalise(going, prior).drop("seg"), f"level{level}")
+        ended.append(rows.where(F.col("levels") == level + 1))
+    rows = reduce(DataFrame.unionByName, ended)
     purity = ((F.sum("good") + STRENGTH * prior) / (F.sum("lab") + STRENGTH)).alias("purity")
     judged = rows.groupBy("host", "t").agg(purity)
     return rows.select("host", "path", "t").join(judged, ["host", "t"]).withColumnRenamed("t", "template")
 
 
-def _generalise(rows: DataFrame, seg: str, prior: float) -> DataFrame:
-    """Extend the template ``t`` by one level."""
+def _generalise(rows: DataFrame, prior: float) -> DataFrame:
+    """Extend the template ``t`` by the segment ``seg``."""
     node = ["host", "t"]
-    kids = rows.where(F.col(seg).isNotNull()).groupBy(*node, F.col(seg).alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "lab", "good")])
+    kids = rows.where("seg IS NOT NULL").groupBy(*node, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "good")])
     sizes = kids.where("seg <> '#'").groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pages"))
-    variable = (F.col("kids") > MAX_CHILDREN) | ((F.col("kids") >= FEW) & (F.col("pages") < 2 * F.col("kids")))
-    sizes = sizes.select(*node, variable.alias("wild"))
-    plain = kids.where("seg <> '#'").join(sizes.where("NOT wild"), node).drop("wild")
+    sparse = sizes.select(*node, ((F.col("kids") >= FEW) & (F.col("pages") < 2 * F.col("kids"))).alias("sparse"))
+    supported = (F.col("n") >= FEW) | (F.col("lab") >= FEW)
+    plain = kids.where("seg <> '#'").join(sparse, node).where(~F.col("sparse") | supported)
     weight = F.col("lab") + STRENGTH
     plain = plain.select(*node, "seg", weight.alias("w"), (F.col("good") + STRENGTH * prior).alias("g"))
-    near = Window.partitionBy(*node).orderBy(F.col("g") / F.col("w"), "seg")
-    w0, g0 = F.lag("w").over(near), F.lag("g").over(near)
-    pooled = (F.col("g") + g0) / (F.col("w") + w0)
-    z = (F.col("g") / F.col("w") - g0 / w0) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("w") + 1 / w0))
-    cut = plain.withColumn("cut", F.when(z >= DIFFERENT, 1).otherwise(0))
-    branch = cut.withColumn("branch", F.sum("cut").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    names = branch.groupBy(*node, "branch").agg(F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("name"))
-    names = branch.join(names, [*node, "branch"]).select(*node, F.col("seg").alias(seg), "name")
-    step = F.when(F.col(seg) == "#", "#").when(F.col("wild"), "*").otherwise(F.col("name"))
+    # segments of one purity are never cut; the first and the last of them meet the neighbours
+    pure = plain.groupBy(*node, (F.col("g") / F.col("w")).alias("p")).agg(
+        *[by(c, "seg").alias(f"{c}{end}") for c in "gw" for by, end in ((F.min_by, "1"), (F.max_by, "9"))]
+    )
+    near = Window.partitionBy(*node).orderBy("p")
+    w0, g0 = F.lag("w9").over(near), F.lag("g9").over(near)
+    pooled = (F.col("g1") + g0) / (F.col("w1") + w0)
+    z = (F.col("g1") / F.col("w1") - g0 / w0) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("w1") + 1 / w0))
+    cut = pure.withColumn("cut", F.when(z >= DIFFERENT, 1).otherwise(0))
+    cut = cut.select(*node, "p", F.sum("cut").over(near.rowsBetween(Window.unboundedPreceding, 0)).alias("branch"))
+    branch = plain.select(*node, "seg", (F.col("g") / F.col("w")).alias("p")).join(cut, [*node, "p"])
+    size = branch.groupBy(*node, "branch").agg(
+        F.count(F.lit(1)).alias("size"), F.min("seg").alias("first"), F.bit_xor(F.xxhash64("seg")).alias("hash")
+    )
+    branch = branch.join(size, [*node, "branch"])
+    whole = branch.where(F.col("size") <= NAMED).groupBy(*node, "branch").agg(F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("whole"))
+    short = F.concat("first", F.lit("|+"), F.col("size") - 1, F.lit(":"), F.lower(F.hex("hash")))
+    names = branch.join(whole, [*node, "branch"], "left").select(*node, "seg", F.coalesce("whole", short).alias("name"))
+    step = F.when(F.col("seg") == "#", "#").otherwise(F.coalesce("name", F.lit("*")))
     return (
-        rows.join(sizes, node, "left").join(names, [*node, seg], "left")
-        .withColumn("t", F.when(F.col(seg).isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), step))).drop("wild", "name")
+        rows.join(names, [*node, "seg"], "left")
+        .withColumn("t", F.when(F.col("seg").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), step))).drop("name")
     )
 
 
@@ -141,7 +165,11 @@ def labels_by_number(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(labels.select("doc_id", good.alias("good")).where("good is not null"), "doc_id").select("host", "path", "good")
 
 
+MAX_CHILDREN = 64  # where the SQL ends
+
+
 def oracle_sql() -> str:
+    """The rule for paths of up to ``DEPTH`` segments, nodes of up to ``MAX_CHILDREN`` and no supported child in a sparse one."""
     def rule(field) -> str:
         out = "NULL"
         for r in sorted(RULES, key=lambda r: len(r.host + r.path)):
