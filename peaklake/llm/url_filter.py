@@ -8,7 +8,7 @@ list goes first.
 
 Everything works on a table of distinct (host, path) with counts: the groups are combined before they are shuffled, and
 a node hands one row per smoothed purity to the window that merges, at most as many as pairs of counts can share its
-labels.
+labels. There are as many levels as the deepest path has segments; each reads only the rows that go on.
 
 Defined results: a null url or one without ``://`` has empty host and path and, like any other host, a template of its
 own; null and repeated page ids give one row each; labels of unknown pages count for nothing, several labels of one page
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from peaklake.llm.common import workspace
 from peaklake.llm.licenses import LOWER, UPPER
 
-DEPTH = 4  # the last level holds the rest of the path
 NAMED = 64  # branches merged from more segments are named by the first of them, their number and a hash
 FEW = 8  # from so many children on, fewer than two pages each are a variable segment; so many pages or labels support a child
 STRENGTH = 8.0  # pseudo-labels at the global share
@@ -71,15 +70,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule], field) -> Colu
 
 def _segment(path: Column, level: int) -> Column:
     part = F.split_part(path, F.lit("/"), F.lit(level + 2))
-    if level == DEPTH - 1:
-        part = F.regexp_extract(path, "(?s)^" + "[^/]*/" * DEPTH + "(.*)$", 1)
     return F.when(part.rlike(NUMBER), "#").when(part != "", part)
 
 
 def _levels(path: Column) -> Column:
     """Number of segments up to the last one that is not empty."""
     kept = F.rtrim(path, F.lit("/"))
-    return F.least(F.length(kept) - F.length(F.replace(kept, F.lit("/"), F.lit(""))), F.lit(DEPTH))
+    return F.length(kept) - F.length(F.replace(kept, F.lit("/"), F.lit("")))
 
 
 def templates(sites: DataFrame) -> DataFrame:
@@ -165,7 +162,8 @@ def labels_by_number(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(labels.select("doc_id", good.alias("good")).where("good is not null"), "doc_id").select("host", "path", "good")
 
 
-MAX_CHILDREN = 64  # where the SQL ends
+#: Where the SQL ends: it knows so many levels, the last one with the rest of the path, and so many children.
+DEPTH, MAX_CHILDREN = 4, 64
 
 
 def oracle_sql() -> str:

@@ -25,3 +25,12 @@ def test_a_bad_section_is_rejected_however_many_siblings(spark, siblings, pages)
     assert {v for p, (v, _) in got.items() if not p.startswith("/spam/")} == {"allow"}
     assert {t for p, (_, t) in got.items() if p.startswith("/spam/")} == {"h.org/spam/#"}
     assert max(len(t) for _, t in got.values()) < 500
+
+
+def test_deep_branches_have_templates_of_their_own(spark):
+    paths = {f"/a/b/c/d/e/{name}/{k}": [good] * 10 for name, good in (("spam", 0), ("news", 1)) for k in range(20)}
+    paths |= {"/a/b/c/d/e/": [], "/a//b": [], "": []}
+    got = judged(spark, paths)
+    assert got["/a/b/c/d/e/spam/7"] == ("block", "h.org/a/b/c/d/e/spam/#")
+    assert got["/a/b/c/d/e/news/7"] == ("allow", "h.org/a/b/c/d/e/news/#")
+    assert got["/a/b/c/d/e/"][1] == "h.org/a/b/c/d/e" and got["/a//b"][1] == "h.org/a/b" and got[""][1] == "h.org"
