@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,29 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(ROWS_KEY, before)
+
+
+BATCH_BYTES = 1 << 20
+
+
+def byte_batches(batches: Iterable[pa.RecordBatch], column: str = "t", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of about ``limit`` bytes of the string ``column``; a longer text is a slice of its own."""
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ends = np.cumsum(pc.add(pc.binary_length(batch.column(column)), 8).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            held = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, held + limit, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all UTF-8 bytes of a string column without nulls, where each text begins and the last one ends)."""
+    column = column.cast(pa.large_string())
+    cuts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    joined = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
+    return joined, cuts - cuts[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from peaklake.llm import decontamination, exact_dedup, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, url_filter
+from peaklake.llm import decontamination, exact_dedup, fill_middle, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, url_filter
 from peaklake.llm.common import table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op7_token_output(spark, sf_dir):
     return token_output.digest(token_output.read_tokens(spark, path))
 
 
+@query(fill_middle.oracle_sql())
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
