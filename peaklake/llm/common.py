@@ -82,3 +82,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     joined = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None and len(data) else np.zeros(0, np.uint8)
     return joined, cuts - cuts[0]
+
+
+def labelled_sample(work: Workspace, docs: DataFrame, known: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
+    """At most ``rows`` distinct (id, text) of the documents named by ``known`` (id, ...), with its columns; staged.
+
+    The bound holds for joined rows: they are chosen by the hash of id and text, as narrow rows, before any text moves, so
+    an id that a third of the documents share gives as many rows as it has texts among the chosen.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("t")).where("id is not null").withColumn("h", F.xxhash64("t"))
+    named = texts.select("id", "h").distinct().join(known.select("id"), "id")
+    keys = work.stage(named.orderBy(F.md5(F.concat_ws(":", "id", "h")), "id", "h").limit(rows), "keys")
+    chosen = texts.join(F.broadcast(keys), ["id", "h"]).groupBy("id", "h").agg(F.min("t").alias("t"))
+    return work.stage(chosen.join(F.broadcast(keys.join(known, "id")), ["id", "h"]), "sample")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from peaklake.llm import decontamination, exact_dedup, fill_middle, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, url_filter
+from peaklake.llm import decontamination, exact_dedup, fill_middle, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, toxicity, url_filter
 from peaklake.llm.common import table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,13 @@ def op12_fill_in_middle(spark, sf_dir):
     return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
 
 
+@query()
+def op11_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    return toxicity.digest(toxicity.score(docs, net))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

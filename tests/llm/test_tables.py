@@ -8,7 +8,7 @@ from checks.compare import compare, duck
 from peaklake.llm.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-PER_DOCUMENT = [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op10", "op12")]
+PER_DOCUMENT = [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op10", "op11", "op12")]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES_ := {k for k, v in ORACLES.items() if v}))
