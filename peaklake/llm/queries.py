@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from peaklake.llm import decontamination, exact_dedup, fill_middle, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, toxicity, url_filter
+from peaklake.llm import decontamination, exact_dedup, fill_middle, hard_negatives, jaccard_join, kd_sharding, licenses, mixing, quality, secrets, token_output, toxicity, url_filter
 from peaklake.llm.common import table, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,12 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.digest(toxicity.score(docs, net))
 
 
+@query(hard_negatives.oracle_sql())
+def op13_hard_negatives(spark, sf_dir):
+    vectors = hard_negatives.contract_rows(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -48,12 +48,23 @@ def pages() -> pa.Table:
     return pa.table({"page_id": pa.array(list(range(len(urls))), pa.int64()), "url": pa.array(urls, pa.string()), "html": pa.array([""] * len(urls)), "host": pa.array([1] * len(urls))})
 
 
+def embeddings() -> pa.Table:
+    vectors = [[((i * 37 + d * 11) % 23 - 11) / 16 for d in range(8)] for i in range(160)]
+    vectors[3], vectors[5][2], vectors[8], vectors[50], vectors[9] = None, None, [float("nan")] * 8, vectors[51], vectors[10]
+    labels = [None if i == 12 else i % 4 for i in range(160)]
+    return pa.table({
+        "vec_id": pa.array([*range(150), *range(10)], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(labels, pa.int32()),
+        **{name: pa.array([1] * 160) for name in ("id", "v", "key", "block", "grp", "rank", "at")},
+    })
+
+
 def tables(folder, docs: pa.Table) -> str:
     some = docs.num_rows
     ids = docs["doc_id"].to_pylist()
     parts = {
         "documents": docs,
         "pages": pages() if some else pages().slice(0, 0),
+        "embeddings": embeddings() if some else embeddings().slice(0, 0),
         "labels": pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array([None if i % 7 == 6 else i % 4 and 1 for i in range(some)], pa.int32()), "toxic": pa.array([None if i % 5 == 4 else 0 for i in range(some)], pa.int32())}),
         "benchmark": pa.table({"item_id": pa.array([0, 1, 2, 3, None][: some and 5], pa.int64()), "text": pa.array([" ".join(BASE.split()[10:40]), None, "", "One two three", text(9, 40)][: some and 5], pa.string())}),
     }
