@@ -75,6 +75,14 @@ def byte_batches(batches: Iterable[pa.RecordBatch], column: str = "t", limit: in
             start = end
 
 
+def text_slices(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[list[str]]:
+    """Runs of texts of about ``limit`` bytes as Python strings, so that a task never holds a whole Arrow batch of them."""
+    named = pa.RecordBatch.from_arrays([texts], ["t"])
+    for part in byte_batches([named], limit=limit):
+        yield part.column("t").to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(all UTF-8 bytes of a string column without nulls, where each text begins and the last one ends)."""
     column = column.cast(pa.large_string())

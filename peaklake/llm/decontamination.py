@@ -28,12 +28,11 @@ from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklake.llm.common import text_or_empty, workspace
+from peaklake.llm.common import arrow_rows, byte_batches, text_or_empty, text_slices, workspace
 from peaklake.llm.wordhash import SHINGLE, in_batches, shingle_hashes, word_hashes
 
 SIMILARITY = 0.8
@@ -190,23 +189,25 @@ def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """(id, item, first_word, similarity): the best place of every item in every document that contains it."""
+    """(id, item, first_word, similarity): the best place of every item in every document that contains it.
+
+    The result of each block of items is staged before the next one is read, so the driver holds one block at a time.
+    """
     key, item_type = (f.select(c).schema[0].dataType for f, c in ((docs, id_col), (benchmark, item_col)))
     source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
     schema = f"id {key.simpleString()}, item {item_type.simpleString()}, first_word bigint, similarity double"
-    found = None
+    work = workspace(docs.sparkSession, "leaks")
+    found = docs.sparkSession.createDataFrame([], schema)
     for ids, texts in _item_blocks(benchmark, item_col, item_text_col):
-        part = source.mapInArrow(_matcher(ids, texts), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.range(0).selectExpr(f"cast(null as {key.simpleString()}) id", f"cast(null as {item_type.simpleString()}) item", "id first_word", "0D similarity")
+        with arrow_rows(docs.sparkSession):
+            found = found.unionByName(work.stage(source.mapInArrow(_matcher(ids, texts), schema), "block"))
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "first_word", F.round("similarity", 9).alias("similarity"))
 
 
 def _matcher(ids: list, texts: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(texts)
-        for batch in batches:
+        for batch in byte_batches(batches):
             rows = list(items.matches(batch.column(1).to_pylist()))
             doc = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -218,20 +219,23 @@ def _matcher(ids: list, texts: list[str]):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, in their own columns."""
-    out = docs
+    """The rows of ``docs`` that contain no benchmark item, in their own columns; what is left after each block of items is staged."""
+    out, work = docs, workspace(docs.sparkSession, "no-leaks")
     for _, texts in _item_blocks(benchmark, item_col, item_text_col):
-        out = out.where(~_leak_flag(texts)(text_or_empty(text_col)))
+        with arrow_rows(docs.sparkSession):
+            out = work.stage(out.where(~_leak_flag(texts)(text_or_empty(text_col))), "left")
     return out
 
 
 def _leak_flag(texts: list[str]):
-    @F.pandas_udf("boolean")
-    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(texts)
         for batch in batches:
-            flags = np.zeros(len(batch), bool)
-            flags[[r[0] for r in items.matches(batch.tolist())]] = True
-            yield pd.Series(flags)
+            flags, start = np.zeros(len(batch), bool), 0
+            for part in text_slices(batch):
+                flags[[start + r[0] for r in items.matches(part)]] = True
+                start += len(part)
+            yield pa.array(flags)
 
     return leaks

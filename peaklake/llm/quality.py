@@ -1,11 +1,11 @@
 """Operator 4: quality classifier with hierarchical empirical Bayes.
 
 A logistic model over the words and the style of a text gives the evidence of each document. A bounded sample of
-labelled rows (``sample_rows``, the smallest hashes of the ids) trains it in one task; its weights are one vector of
-fixed size. The evidence of *all* documents, or the label where there is one, is then summed by host and path. Host
+labelled rows (``sample_rows`` distinct pairs of id and text, by the hash of both) trains it in one task; its weights are one
+vector of fixed size. The evidence of *all* documents, or the label where there is one, is then summed by host and path. Host
 rates are drawn from a global Beta prior and path rates from their host's; the prior strengths come from the spread of
 the rates (moments), so a site with few documents is shrunk to the level above. The posterior odds of a path over the
-global odds shift the evidence of its documents.
+global odds shift the evidence of its documents; each document's own share is left out of both rates before, so that it counts once.
 
 Sums are combined before they are shuffled, so a host with a third of all rows arrives as one row per task; the table of
 sites is joined back by size and texts stay in place.
@@ -22,14 +22,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peaklake.llm.common import text_or_empty, workspace
+from peaklake.llm.common import arrow_rows, byte_batches, labelled_sample, text_or_empty, text_slices, workspace
 
 SAMPLE_ROWS = 20_000
 FEATURES = 1 << 18
@@ -90,16 +90,16 @@ def train(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> np.ndarray:
-    """Train on the labelled rows with the smallest id hashes; texts become feature numbers where they are read."""
+    """Train on at most ``sample_rows`` distinct labelled (id, text), by the hash of both; texts become feature numbers where they are read."""
     work = workspace(docs.sparkSession, "quality-fit")
-    sample = work.stage(labels.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample_rows), "sample")
+    sample = labelled_sample(work, docs, labels, id_col, text_col, sample_rows)
 
-    @F.pandas_udf("array<int>")
-    def numbers(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches):
+            found = pa.array([features(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("good"), found], ["good", "f"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(sample), "id")
-    rows = work.stage(chosen.select("good", numbers("t").alias("f")), "features")
+    rows = work.stage(sample.select("good", "t").mapInArrow(numbers, "good double, f array<int>"), "features")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, good = [], []
@@ -114,15 +114,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_r
     # one task on the bounded sample; its rows are put in order so that sums do not depend on arrival
     ordered = rows.repartition(1).sortWithinPartitions("good", "f")
     solved = ordered.mapInArrow(solve, "w binary").first()
+    work.close()
     return np.frombuffer(solved["w"], "<f4") if solved else train([], np.zeros(0))
 
 
 def evidence(weights: np.ndarray, text: Column) -> Column:
     """Log-odds of a good document from its text alone."""
+    base = float(weights[-1])
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: float(weights[-1] + weights[features(t)].sum(dtype="f8")) if t else float(weights[-1]))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [base + float(weights[features(t)].sum(dtype="f8")) if t else base for part in text_slices(texts) for t in part]
+            yield pa.array(found, pa.float64())
 
     return score(text)
 
@@ -146,66 +150,86 @@ def _strength(rate: Column, prior: Column, n: Column) -> Column:
     return F.least(F.greatest(base / F.greatest(spread, F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1e4))
 
 
-def sites(scored: DataFrame) -> DataFrame:
-    """(host, path, n, posterior, shift) of ``scored``: host, path, good (evidence or label as a share)."""
-    paths = workspace(scored.sparkSession, "quality-sites").stage(
-        scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")), "paths"
-    )
+_SITE = ("n", "good", "hn", "hg")
+
+
+class Sites(NamedTuple):
+    """(host, path, n, good, hn, hg): documents and sum of good shares of every path and of its host; the global mean and both prior strengths."""
+
+    rows: DataFrame
+    mean: float
+    host_strength: float
+    path_strength: float
+
+    def posterior(self, own: Column | None = None, prefix: str = "") -> Column:
+        """Rate of a path, shrunk to that of its host and that to the mean; without one document of share ``own`` if given."""
+        one, share = (F.lit(0), F.lit(0.0)) if own is None else (F.lit(1), own)
+        n, good, hn, hg = (F.col(f"{prefix}{c}") for c in _SITE)
+        host = (hg - share + self.host_strength * self.mean) / (hn - one + self.host_strength)
+        return (good - share + self.path_strength * host) / (n - one + self.path_strength)
+
+    def shift(self, own: Column, prefix: str = "") -> Column:
+        return _logit(self.posterior(own, prefix)) - _logit(F.lit(self.mean))
+
+
+def sites(scored: DataFrame, work) -> Sites:
+    """The sites of ``scored``: host, path, good (evidence or label as a share)."""
+    paths = work.stage(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hg"))
     total = hosts.agg(F.sum("hn").alias("n"), F.sum("hg").alias("g")).first()
+    both = paths.join(hosts, "host").select("host", "path", "n", "good", "hn", "hg")
     if total["n"] is None:
-        return paths.select("host", "path", "n", F.lit(0.5).alias("posterior"), F.lit(0.0).alias("shift"))
-    mean = F.lit((total["g"] + 0.5) / (total["n"] + 1.0))
-    s1 = hosts.agg(_strength(F.col("hg") / F.col("hn"), mean, F.col("hn"))).first()[0]
-    hosts = hosts.select("host", ((F.col("hg") + s1 * mean) / (F.col("hn") + s1)).alias("rate"))
-    both = paths.join(hosts, "host")
-    s2 = both.agg(_strength(F.col("good") / F.col("n"), F.col("rate"), F.col("n"))).first()[0]
-    posterior = (F.col("good") + s2 * F.col("rate")) / (F.col("n") + s2)
-    return both.select("host", "path", "n", posterior.alias("posterior"), (_logit(posterior) - _logit(mean)).alias("shift"))
+        return Sites(both, 0.5, 1.0, 1.0)
+    mean = (total["g"] + 0.5) / (total["n"] + 1.0)
+    s1 = hosts.agg(_strength(F.col("hg") / F.col("hn"), F.lit(mean), F.col("hn"))).first()[0]
+    rate = (F.col("hg") + s1 * mean) / (F.col("hn") + s1)
+    s2 = both.agg(_strength(F.col("good") / F.col("n"), rate, F.col("n"))).first()[0]
+    return Sites(work.stage(both, "sites"), mean, s1, s2)
 
 
 class Model:
-    """Weights of the text evidence and the staged table of sites."""
+    """The documents with their text evidence, staged, and the table of sites.
+
+    Texts are scored once. ``whole`` stages the rows of ``docs`` in their own columns beside the evidence, else only the id.
+    """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", sample_rows: int = SAMPLE_ROWS):
-        self.text, self.host, self.path = text_col, host_col, path_col
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", host_col="source", path_col="lang", sample_rows: int = SAMPLE_ROWS, whole: bool = False):
+        self.columns = docs.columns
         work = workspace(docs.sparkSession, "quality")
         known = work.stage(known_labels(labels), "labels")
-        self.weights = fit(docs, known, id_col, text_col, sample_rows)
-        rows = docs.select(F.col(id_col).alias("id"), *self._site(), evidence(self.weights, text_or_empty(text_col)).alias("logit"))
-        self.scored = work.stage(rows, "scored")
-        self.labels = known
-        share = F.coalesce(F.col("good"), 1 / (1 + F.exp(-F.col("logit"))))
-        self.sites = work.stage(sites(self.scored.join(known, "id", "left").select("host", "path", share.alias("good"))), "sites")
-
-    def _site(self) -> list[Column]:
-        def key(name, alias):  # null is a site of its own
-            return F.coalesce(F.concat(F.lit("s:"), F.col(name).cast("string")), F.lit("n:")).alias(alias)
-
-        return [key(self.host, "host"), key(self.path, "path")]
+        weights = fit(docs, known, id_col, text_col, sample_rows)
+        own = {f"{INTERNAL}{k}": v for k, v in (("id", F.col(f"`{id_col}`")), ("host", self._key(host_col)), ("path", self._key(path_col)), ("logit", evidence(weights, text_or_empty(f"`{text_col}`"))))}
+        kept = [F.col(f"`{c}`") for c in docs.columns] if whole else []
+        with arrow_rows(docs.sparkSession):
+            scored = work.stage(docs.select(*kept, *[v.alias(k) for k, v in own.items()]), "scored")
+        labelled = known.select(F.col("id").alias(f"{INTERNAL}id"), F.col("good").alias(f"{INTERNAL}label"))
+        share = F.coalesce(f"{INTERNAL}label", 1 / (1 + F.exp(-F.col(f"{INTERNAL}logit"))))
+        self.scored = scored.join(labelled, f"{INTERNAL}id", "left").withColumn(f"{INTERNAL}own", share)
+        self.sites = sites(self.scored.select(F.col(f"{INTERNAL}host").alias("host"), F.col(f"{INTERNAL}path").alias("path"), F.col(f"{INTERNAL}own").alias("good")), work)
 
     @staticmethod
-    def probability(logit: Column, shift: Column) -> Column:
-        return 1 / (1 + F.exp(-(logit + shift)))
+    def _key(name: str) -> Column:  # null is a site of its own
+        return F.coalesce(F.concat(F.lit("s:"), F.col(f"`{name}`").cast("string")), F.lit("n:"))
+
+    def judged(self) -> DataFrame:
+        """``scored`` with the probability of good by its text and its site, the document's own share left out of the latter."""
+        placed = self.sites.rows.select(*[F.col(c).alias(f"{INTERNAL}{c}") for c in ("host", "path")], *[F.col(c).alias(f"{INTERNAL}s_{c}") for c in _SITE])
+        rows = self.scored.join(placed, [f"{INTERNAL}host", f"{INTERNAL}path"])
+        p = 1 / (1 + F.exp(-(F.col(f"{INTERNAL}logit") + self.sites.shift(F.col(f"{INTERNAL}own"), f"{INTERNAL}s_"))))
+        return rows.withColumns({f"{INTERNAL}posterior": self.sites.posterior(prefix=f"{INTERNAL}s_"), f"{INTERNAL}p": p})
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names) -> DataFrame:
     """One row per document: id, evidence of the text, posterior of its site, probability of good, keep."""
-    model = Model(docs, labels, **names)
-    p = Model.probability(F.col("logit"), F.col("shift"))
-    return model.scored.join(model.sites, ["host", "path"]).select(
-        F.col("id").alias(names.get("id_col", "doc_id")), F.round("logit", 6).alias("evidence"), F.round("posterior", 6).alias("site_posterior"),
+    rows = Model(docs, labels, **names).judged()
+    p = F.col(f"{INTERNAL}p")
+    return rows.select(
+        F.col(f"{INTERNAL}id").alias(names.get("id_col", "doc_id")), F.round(f"{INTERNAL}logit", 6).alias("evidence"), F.round(f"{INTERNAL}posterior", 6).alias("site_posterior"),
         F.round(p, 6).alias("p_good"), (p >= threshold).alias("keep"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **names) -> DataFrame:
     """The rows of ``docs`` that are not rejected, in their own columns."""
-    model = Model(docs, labels, **names)
-    site = model.sites.select(F.col("host").alias(f"{INTERNAL}h"), F.col("path").alias(f"{INTERNAL}p"), F.col("shift").alias(f"{INTERNAL}s"))
-    host, path = model._site()
-    scored = docs.withColumns({
-        f"{INTERNAL}l": evidence(model.weights, text_or_empty(model.text)), f"{INTERNAL}h": host, f"{INTERNAL}p": path,
-    })
-    p = Model.probability(F.col(f"{INTERNAL}l"), F.col(f"{INTERNAL}s"))
-    return scored.join(site, [f"{INTERNAL}h", f"{INTERNAL}p"]).where(p >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    model = Model(docs, labels, whole=True, **names)
+    return model.judged().where(F.col(f"{INTERNAL}p") >= threshold).select(*[F.col(f"`{c}`") for c in model.columns])
