@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from peaklake.llm import decontamination, jaccard_join, kd_sharding, mixing, quality
-from peaklake.llm.common import table, workspace
+from peaklake.llm.common import arrow_rows, table, workspace
 
 SHARDS = 16
 
@@ -51,6 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     work = workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = work.stage(stage(spark, docs, sf_dir), name)
+    with arrow_rows(spark):
+        for name, stage in STAGES:
+            docs = work.stage(stage(spark, docs, sf_dir), name)
     return docs
