@@ -7,7 +7,9 @@ from checks.registry import query
 from peaklake.config import EXCLUDED_SAMPLE_IDS, UnionSelection
 from peaklake.functions import scalars as S
 from peaklake.operators import joins as J
-from peaklake.operators.matrix import Matrix, densify_cells, feature_axis, keep_features, pivot_matrix, row_vectors
+from peaklake.operators.columns import train_rows
+from peaklake.operators.matrix import Matrix, densify_cells, dropped_features, feature_axis, keep_features, pivot_matrix, row_vectors
+from peaklake.operators.missing import filter_overall_missingness
 from peaklake.operators.preprocess import never_observed
 from peaklake.plans.dataset import make_dataset as build_dataset
 from peaklake.plans.dataset import pair_membership
@@ -374,11 +376,12 @@ def assemble_abundances(fx):
     return P.assemble_abundances(P.melt_measures(wide), P.column_map(fx.spark, wide))
 
 
-@query(SQL + "SELECT sample_id, " + ", ".join(
-    f"max(CASE WHEN feature_id = {i} THEN area END) AS f{i}" for i in range(1, 26)) + " FROM fx_abundances GROUP BY 1", name="pivot_matrix")
+@query(SQL + "SELECT * FROM (PIVOT fx_abundances ON 'f' || feature_id USING max(area) GROUP BY sample_id)", name="pivot_matrix")
 def pivot(fx):
+    """One column for each feature of the table."""
     cells = fx.abundances.withColumnRenamed("area", "value")
-    return pivot_matrix(cells, fx.samples, range(1, 26))
+    ids = [r["feature_id"] for r in fx.abundances.select("feature_id").distinct().collect()]  # the header of the result
+    return pivot_matrix(cells, fx.samples, ids)
 
 
 @query(SQL + "SELECT sample_id, feature_id, value FROM dense", name="densify_cells")
@@ -445,12 +448,33 @@ def track_feature_names(fx):
     return keep_features(matrix, kept).positions().select("pair", "feature_id", F.col("pos").cast("bigint").alias("pos"))
 
 
+@query(SQL + """,
+kept AS (
+  SELECT pair, feature_id FROM keyed WHERE NOT test_split GROUP BY 1, 2
+  HAVING count(value) > 0 AND 1.0::DOUBLE - count(value) / count(*)::DOUBLE <= 0.23::DOUBLE),
+seen AS (SELECT pair, feature_id, count(value) AS n FROM keyed WHERE NOT test_split GROUP BY 1, 2)
+SELECT p.pair, f.feature_id, CASE WHEN f.feature_id = 1 THEN 'internal standard' WHEN s.n = 0 THEN 'never observed' ELSE 'missingness' END AS reason
+FROM pairs p CROSS JOIN fx_features f LEFT JOIN seen s ON s.pair = p.pair AND s.feature_id = f.feature_id
+LEFT JOIN kept k ON k.pair = p.pair AND k.feature_id = f.feature_id WHERE k.pair IS NULL
+""", name="dropped_features")
+def dropped(fx):
+    """What leaves a matrix on the way to the models, and why."""
+    matrix = fx.keyed()
+    observed = matrix.positions().join(never_observed(matrix), ["pair", "feature_id"], "left_anti").select("pair", "feature_id")
+    filtered = filter_overall_missingness(matrix, 0.23, where=train_rows()).join(observed, ["pair", "feature_id"], "left_semi")
+    first = feature_axis(fx.features)
+    return dropped_features(
+        matrix.axis.select("pair"), first, STANDARD_ID, [("never observed", keep_features(matrix, observed).axis), ("missingness", keep_features(matrix, filtered).axis)], ["pair"],
+    )
+
+
 @query(SQL + """
 SELECT f.feature_id FROM fx_features f
-WHERE f.feature_id NOT IN (SELECT feature_id FROM fx_abundances GROUP BY 1 HAVING count(*) >= 1150)
+WHERE f.feature_id NOT IN (SELECT feature_id FROM fx_abundances GROUP BY 1 HAVING count(*) >= 0.767::DOUBLE * (SELECT count(*) FROM fx_samples))
 """)
 def drop_selected_features(fx):
-    selected = J.n_obs_per_feature(fx.abundances).where(F.col("n_obs") >= 1150)
+    """Features seen in at least 76.7 % of the samples count as selected and go."""
+    selected = J.n_obs_per_feature(fx.abundances).where(F.col("n_obs") >= F.lit(0.767) * fx.samples.count())
     return fx.features.select("feature_id").join(selected, "feature_id", "left_anti")
 
 

@@ -19,6 +19,7 @@ from peaklake.operators.missing import filter_overall_missingness as overall
 from peaklake.operators.preprocess import apply_log2, fit_log2
 from peaklake.plans.dataset import make_dataset as build_dataset
 from peaklake.plans.dataset import pair_membership
+from peaklake.sources import results as R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,15 +333,17 @@ def argmax_C(fx):
 
 
 @query("""
-SELECT l_suppkey AS model, round(avg(score), 6) AS score FROM (
-  SELECT l_suppkey, l_linenumber, CAST(round(avg(CAST(l_quantity AS DECIMAL(18,2))), 4) AS DOUBLE) AS score FROM lineitem GROUP BY 1, 2)
+SELECT m.model, coalesce(round(avg(score), 6), 0.0::DOUBLE) AS score
+FROM (SELECT s_suppkey AS model FROM supplier UNION SELECT -s_suppkey FROM supplier) m LEFT JOIN (
+  SELECT l_suppkey, l_linenumber, CAST(round(avg(CAST(l_quantity AS DECIMAL(18,2))), 4) AS DOUBLE) AS score FROM lineitem GROUP BY 1, 2) ON l_suppkey = m.model
 GROUP BY 1
 """)
 def mean_fold_score(fx):
     folds = fx.table("lineitem").groupBy(F.col("l_suppkey").alias("model"), "l_linenumber").agg(
         F.round(F.avg(F.col("l_quantity").cast("decimal(18,2)")), 4).cast("double").alias("score")
     )
-    return M.mean_fold_score(folds, ["model"], "score").select("model", F.round("score", 6).alias("score"))
+    suppliers = fx.table("supplier").select(F.explode(F.array("s_suppkey", -F.col("s_suppkey"))).alias("model"))  # half of them have no fold
+    return M.mean_fold_score(folds, ["model"], "score", models=suppliers).select("model", F.round("score", 6).alias("score"))
 
 
 # ---- ranking and draws --------------------------------------------------------------------------------------
@@ -452,11 +455,15 @@ def except_sample_ids(fx):
 SELECT pair, count(*) AS n, count(*) FILTER (NOT test_split) AS n_train, CAST(sum(y) AS BIGINT) AS n_positive FROM members GROUP BY pair
 """)
 def union_results(fx):
-    """Results of all pairs from one plan keyed by pair."""
-    members = pair_membership(fx.samples, STANDARD_PAIRS)
-    return members.groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("test_split")).alias("n_train"), F.sum("y").alias("n_positive")
-    )
+    """One table of results for each pair, one below the other; a pair without samples adds nothing."""
+    tables = []
+    for pair in (*STANDARD_PAIRS, ("control", "nobody else")):
+        members = pair_membership(fx.samples, [pair])
+        counts = members.groupBy("pair").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(~F.col("test_split")).alias("n_train"), F.sum("y").alias("n_positive")
+        )
+        tables.append(counts.where("0 < n_positive AND n_positive < n"))
+    return R.union_results(fx.spark, tables, "pair string, n bigint, n_train bigint, n_positive bigint")
 
 
 @query(SQL + "SELECT sample_id, condition FROM fx_samples WHERE NOT test_split OR test_split")

@@ -109,6 +109,34 @@ def keep_features(matrix: Matrix, kept: DataFrame) -> Matrix:
     return pick(matrix, picked)
 
 
+def dropped_features(
+    keyed: DataFrame, first: DataFrame, standard_id: int | None, steps: Sequence[tuple[str, DataFrame]], keys: Sequence[str]
+) -> DataFrame:
+    """keys..., feature_id, reason: the features of the first axis that a key no longer has.
+
+    ``first`` is (feature_ids); each step names a reason and gives the axes (keys..., feature_ids) after it, in order. A
+    feature is listed with the first step that lacks it; a key without an axis after a step has lost all of them there.
+    """
+    keys = list(keys)
+    left = keyed.select(*keys).distinct().withColumn("_left", first.select("feature_ids").scalar())
+    is_standard = lambda f: F.lit(False) if standard_id is None else f == standard_id
+    gone = F.transform(F.filter("_left", is_standard), _entry("internal standard"))
+    left = left.withColumn("_gone", gone).withColumn("_left", F.filter("_left", lambda f: ~is_standard(f)))
+    for reason, axis in steps:
+        after = left.join(axis.select(*keys, F.col("feature_ids").alias("_now")), keys, "left")
+        lost = F.array_except("_left", F.coalesce("_now", F.slice("_left", 1, 0)))
+        entries = F.transform("_lost", _entry(reason))
+        after = after.withColumn("_lost", lost)
+        left = after.select(
+            *keys, F.array_except("_left", "_lost").alias("_left"), F.concat("_gone", entries).alias("_gone")
+        )
+    return left.select(*keys, F.explode("_gone").alias("_g")).select(*keys, "_g.feature_id", "_g.reason")
+
+
+def _entry(reason: str):
+    return lambda f: F.struct(f.alias("feature_id"), F.lit(reason).alias("reason"))
+
+
 def pick(matrix: Matrix, picked: DataFrame) -> Matrix:
     """Apply a (keys..., picked array<struct<pos, feature_id>>) selection."""
     rows = matrix.rows.join(picked, list(matrix.keys)).withColumn(

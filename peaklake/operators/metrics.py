@@ -44,9 +44,13 @@ def classification_metrics(predictions: DataFrame, keys: Sequence[str], prefix:
     return confusion_counts(predictions, keys).select(*keys, *metric_columns(prefix))
 
 
-def mean_fold_score(scores: DataFrame, keys: Sequence[str], *columns: str) -> DataFrame:
-    """Mean over the folds of each model."""
-    return scores.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+def mean_fold_score(scores: DataFrame, keys: Sequence[str], *columns: str, models: DataFrame | None = None) -> DataFrame:
+    """Mean over the folds of each model; a model of ``models`` (keys...) without any fold scores 0.0."""
+    means = scores.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
+    if models is None:
+        return means
+    every = models.select(*keys).distinct().join(means, list(keys), "left")
+    return every.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
 
 
 def argmax_c(scores: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
+from peaklake.config import check_limits
 from peaklake.operators.cogroup import cogroup_apply
 from peaklake.operators.descent import DIRECT_FEATURES, LINE_LENGTHS, Problem, batch_sums, solve
 from peaklake.functions.vectors import sq_norm
@@ -45,12 +46,13 @@ def model_spec(
     C * sum of weighted losses + l1_ratio * |w|_1 + (1 - l1_ratio) / 2 * |w|^2.
     """
     _, default_tol, default_iter = KINDS[kind]
+    check_limits(max_iter, tol)
     c = C if isinstance(C, Column) else F.lit(float(C))
     return [
         F.lit(kind).alias("kind"), c.cast("double").alias("C"), F.lit(float(lam)).alias("lam"),
         F.lit(float(l1_ratio)).alias("l1_ratio"), F.lit(bool(balanced and kind != "l1_svm")).alias("balanced"),
-        F.lit(bool(fit_intercept)).alias("fit_intercept"), F.lit(float(tol or default_tol)).alias("tol"),
-        F.lit(int(max_iter or default_iter)).alias("max_iter"), F.lit(bool(accelerate)).alias("accelerate"),
+        F.lit(bool(fit_intercept)).alias("fit_intercept"), F.lit(float(default_tol if tol is None else tol)).alias("tol"),
+        F.lit(int(default_iter if max_iter is None else max_iter)).alias("max_iter"), F.lit(bool(accelerate)).alias("accelerate"),
         F.lit(float("nan") if step_size is None else float(step_size)).alias("step_size"),
         F.lit(bool(record_history)).alias("record_history"),
     ]

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from peaklake.config import MissingnessFilter, Study
 from peaklake.functions.scalars import pair_label
 from peaklake.operators.joins import query_samples
-from peaklake.operators.matrix import Matrix, feature_axis, keep_features, keyed_matrix, row_vectors
+from peaklake.operators.matrix import Matrix, dropped_features, feature_axis, keep_features, keyed_matrix, row_vectors
 from peaklake.operators.missing import filter_groupwise_missingness
 from peaklake.operators.preprocess import normalize_cells, preprocess
 from peaklake.operators.sampling import stratified_kfold
@@ -122,7 +122,20 @@ def prepare(
     star: Star, study: Study, missingness: MissingnessFilter | None, with_test: bool, stage: Stage
 ) -> Matrix:
     """Preprocessed rows for every (pair, view), staged."""
+    return prepare_with_report(star, study, missingness, with_test, stage)[0]
+
+
+def prepare_with_report(
+    star: Star, study: Study, missingness: MissingnessFilter | None, with_test: bool, stage: Stage
+) -> tuple[Matrix, DataFrame]:
+    """``prepare`` and what it dropped: pair, view, feature_id, reason."""
     views = expand_views(pair_matrix(star, study, missingness, with_test, stage), study.n_folds)
     ready = preprocess(views, study.preprocess, stage)
     rows = ready.rows.select(*KEYS, "role", "sample_id", "y", "x")
-    return Matrix(stage(rows, "prepared"), stage(ready.axis, "prepared-axis"), KEYS)
+    matrix = Matrix(stage(rows, "prepared"), stage(ready.axis, "prepared-axis"), KEYS)
+    standard = study.preprocess.internal_standard_id if study.preprocess.drop_internal_standard else None
+    pairs = [pair_label(*p).alias(str(i)) for i, p in enumerate(study.pairs)]
+    keyed = star.features.sparkSession.range(1).select(F.explode(F.array(*pairs)).alias("pair"))
+    keyed = keyed.withColumn("view", F.explode(F.sequence(F.lit(FULL_VIEW), F.lit(study.n_folds - 1))))
+    steps = [("missingness", views.axis), ("never observed", matrix.axis)]
+    return matrix, dropped_features(keyed, feature_axis(star.features), standard, steps, KEYS)

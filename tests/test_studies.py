@@ -170,10 +170,29 @@ def test_bootstrap_study(spark, star, workspace):
     final = B.final_classification(star, selected, BootstrapFinal(STUDY, "logistic", (0.1, 1.0)), workspace.stage).collect()
     assert [(r.condition_pair, r.min_selections) for r in final] == [(p, k) for p in sorted(best) for k in range(1, best[p] + 1)]
     assert all(r.test_bacc > 0.7 and r.mean_val_bacc > 0.7 for r in final)
-    bare = B.final_classification(star, selected, BootstrapFinal(STUDY, "logistic", (1.0,), False), workspace.stage)
+    bare = B.final_classification(star, selected, BootstrapFinal(STUDY, "logistic", (1.0,), fit_final=False), workspace.stage)
     assert all(r.test_bacc is None and r.mean_val_bacc is not None for r in bare.collect())
 
 
+def test_settings_are_named_and_checked():
+    with pytest.raises(TypeError):
+        BootstrapFinal(STUDY, "logistic", (1.0,), False)
+    for wrong in ({"max_iter": False}, {"max_iter": 0}, {"max_iter": 2.5}, {"tol": 0.0}, {"tol": True}):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            BootstrapFinal(STUDY, **wrong)
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            model_spec("svc", **wrong)
+
+
+def test_set_without_a_feature_scores_zero(spark, star, workspace):
+    matrix = folds_only(prepare(star, STUDY, FILTER, False, workspace.stage))
+    axis = matrix.axis.select("pair", "feature_ids").distinct()
+    sets = spark.createDataFrame([("control_vs_incident", "none", 777), ("control_vs_incident", "one", 3)], "pair string, set_id string, feature_id bigint")
+    _, _, means = cross_validate(matrix, axis, sets, "logistic", (0.1, 1.0), Resampling(), 42, 3, workspace.stage)
+    got = {(r.set_id, r.C): (r.train_score, r.val_score) for r in means.collect()}
+    assert got["none", 0.1] == got["none", 1.0] == (0.0, 0.0) and got["one", 1.0][1] > 0.5
+
+
 def test_sets_with_synthetic_rows_are_fitted_on_their_own_rows(spark, star, workspace):
     matrix = full_only(prepare(star, STUDY, FILTER, False, workspace.stage))
     sets = matrix.positions().where("feature_id <= 2").select(
