@@ -1,9 +1,10 @@
 """Exact nearest neighbours in blocks: imputation and border oversampling.
 
-Both operators are defined over all (query, donor) distances. Rows are cut into blocks of bounded size by a hash
-of their id; a task gets one block of queries and one block of donors, computes the distances as matrix products
-and lets out only the block's best k per query, which a second step merges. No pair of rows ever becomes a row of
-a table, no key is gathered in a task, and every donor is considered.
+Both operators are defined over all (query, donor) distances. A task gets one block of queries and one block of
+donors, computes the distances as matrix products and lets out only the block's best k per query, which a second
+step merges. No pair of rows ever becomes a row of a table and no key is gathered in a task. Where a key has several
+blocks of donors, blocks hold near rows and only those meet whose lower bound leaves a chance (``boxes``); every donor
+that could be among the nearest is considered.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 
+from peaklake.operators import boxes
 from peaklake.functions.hashing import draw_int, draw_key, draw_unit
 from peaklake.functions.vectors import dense, has_gap
 from peaklake.operators.cogroup import cogroup_apply
@@ -109,39 +111,86 @@ def gap_neighbours(gaps: np.ndarray, present: np.ndarray, dist: np.ndarray, k: i
     return found
 
 
-def _in_blocks(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], id_col: str, block_rows: int | None
-) -> tuple[DataFrame, DataFrame]:
-    """Give both sides (qblock, dblock): queries are repeated per donor block and donors per query block."""
-    keys = list(keys)
+def _sizes(queries: DataFrame, donors: DataFrame, keys: list[str], block_rows: int | None) -> DataFrame:
+    """keys..., _per_block, _per_query_block, _qblocks, _dblocks: rows of a block and blocks of a side."""
     if block_rows is None:
         low, high = DONOR_ROWS
-        per_block = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(BLOCK_VALUES) / F.greatest(F.col("_p"), F.lit(1))))
+        per_block = F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.col("_p"), F.lit(1)))))
         per_query_block = per_block / QUERY_SHARE
     else:
         per_block = per_query_block = F.lit(block_rows)
-    sizes = (
+    return (
         queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq"), F.max(F.size("x")).alias("_p"))
         .join(donors.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nd")), keys)
         .select(
-            *keys,
+            *keys, per_block.cast("double").alias("_per_block"), per_query_block.cast("double").alias("_per_query_block"),
             F.ceil(F.col("_nq") / per_query_block).cast("int").alias("_qblocks"),
             F.ceil(F.col("_nd") / per_block).cast("int").alias("_dblocks"),
         )
     )
 
-    def place(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (
-            side.join(sizes, keys)
-            .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .drop("_qblocks", "_dblocks")
-        )
 
-    return (
-        place(queries, "qblock", "_qblocks", "dblock", "_dblocks"),
-        place(donors, "dblock", "_dblocks", "qblock", "_qblocks"),
-    )
+class _Search:
+    """Which blocks of queries and donors meet, and their best rows.
+
+    ``block`` gets a block of queries and one of donors and gives (keys..., id, donor_id, dist, ...): the best donors of this
+    block for everything a query wants. Keys with a single block of donors are met as they are. With more,
+    both sides are laid out in blocks of near rows (``boxes``); a query visits the few blocks of smallest bound, and then those
+    whose bound does not exceed what it has found there.
+    """
+
+    def __init__(self, queries: DataFrame, donors: DataFrame, keys: Sequence[str], id_col: str, block, schema: T.StructType, stage):
+        self.queries, self.donors, self.keys, self.id_col = queries, donors, list(keys), id_col
+        self.block, self.schema, self.stage = block, schema, stage
+        self.group = [*self.keys, "qblock", "dblock"]
+
+    def run(self, block_rows: int | None, wants, serves: Column | None = None) -> DataFrame:
+        """All that ``block`` gives for the pairs of blocks that must meet.
+
+        ``wants(queries, found)`` adds what a query still wants after its first block as (slot, tau), see ``boxes_within``.
+        """
+        keys, spark = self.keys, self.queries.sparkSession
+        sizes = self.stage(_sizes(self.queries, self.donors, keys, block_rows), "block-sizes")
+        many = sizes.where("_dblocks > 1").collect()  # one row for each key of many donors
+        if not many:
+            return self._met(*self._single(self.queries, self.donors, sizes))
+        large = spark.createDataFrame(many, sizes.schema)
+        q, d = (side.join(large.select(*keys), keys, "left_semi") for side in (self.queries, self.donors))
+        rest = [side.join(large.select(*keys), keys, "left_anti") for side in (self.queries, self.donors)]
+        return self._met(*self._single(*rest, sizes)).unionByName(self._bounded(q, d, large, wants, serves))
+
+    def _single(self, queries: DataFrame, donors: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """One block of donors for each key, repeated for its blocks of queries."""
+        sizes = sizes.select(*self.keys, "_qblocks")
+        q = queries.join(sizes, self.keys).withColumn("qblock", F.pmod(F.xxhash64(self.id_col), "_qblocks").cast("int"))
+        d = donors.join(sizes, self.keys).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("_qblocks") - 1)))
+        return tuple(side.withColumn("dblock", F.lit("0")).drop("_qblocks") for side in (q, d))
+
+    def _met(self, queries: DataFrame, donors: DataFrame) -> DataFrame:
+        return cogroup_apply(queries, donors, self.group, self.block, self.schema)
+
+    def _visit(self, queries: DataFrame, donors: DataFrame, visits: DataFrame) -> DataFrame:
+        """The best rows of every (query, block) of ``visits``; donors go where a query of the block asks for them."""
+        pairs = visits.select(*self.group).distinct()
+        asked = queries.join(visits.select(*self.keys, self.id_col, "dblock"), [*self.keys, self.id_col])
+        return self._met(asked, donors.join(pairs, [*self.keys, "dblock"]))
+
+    def _bounded(self, queries: DataFrame, donors: DataFrame, sizes: DataFrame, wants, serves: Column | None) -> DataFrame:
+        keys, id_col, stage = self.keys, self.id_col, self.stage
+        d, q = boxes.near_blocks(donors, queries, sizes, keys, id_col, stage)
+        described = stage(boxes.boxes_of(d, keys, "dblock", serves), "boxes")
+        first = stage(boxes.nearest_boxes(q, described, keys, id_col), "first-visits")
+        found = stage(self._visit(q, d, first), "first-found")
+        seen = first.groupBy(*keys, id_col).agg(F.collect_list("dblock").alias("seen"))  # a few blocks
+        asking = q.join(seen, [*keys, id_col])
+        more = stage(boxes.boxes_within(wants(asking, found), described, keys, id_col), "more-visits")
+        return found.unionByName(self._visit(q, d, more))
+
+
+def _farthest(found: DataFrame, keys: Sequence[str], k: Column, slot: Column) -> DataFrame:
+    """keys..., slot, tau: the k-th smallest distance found in the first blocks, without a limit where there are fewer."""
+    kth = F.get(F.sort_array(F.collect_list("dist")), F.first(k) - 1)
+    return found.groupBy(*keys, slot.alias("slot")).agg(F.coalesce(kth, F.lit(float("inf"))).alias("tau"))
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
@@ -149,17 +198,15 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 
 
 def nearest_donor_values(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int | None = None
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int | None = None,
+    stage=lambda df, name: df,
 ) -> DataFrame:
     """The k nearest donors of every gap: keys..., sample_id, pos, donor_id, dist, value, rank.
 
     Both sides are (keys..., sample_id, x). A donor counts for a gap only if it has that feature.
     """
     keys = list(keys)
-    q, d = _in_blocks(
-        queries.select(*keys, "sample_id", "x"), donors.select(*keys, "sample_id", "x"),
-        keys, "sample_id", block_rows,
-    )
+    side = [*keys, "sample_id", "x"]
     schema = T.StructType(
         [
             *_fields(queries, [*keys, "sample_id"]),
@@ -190,8 +237,16 @@ def nearest_donor_values(
         ids = right["sample_id"].to_numpy()
         return out.assign(pos=pos.astype("int32"), donor_id=ids[col], dist=dist, value=values[col, pos])
 
-    group = [*keys, "qblock", "dblock"]
-    best = cogroup_apply(q, d, group, block, schema)
+    def wants(asking: DataFrame, found: DataFrame) -> DataFrame:
+        """Every gap wants donors no farther than the k-th one found; one that has none yet takes any."""
+        tau = _farthest(found, [*keys, "sample_id"], F.lit(k), F.col("pos"))
+        known = tau.groupBy(*keys, "sample_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "tau"))).alias("_tau"))
+        gaps = F.filter(F.transform("x", lambda v, i: F.when(v.isNull(), i)), lambda i: i.isNotNull())
+        want = lambda i: F.struct(i.alias("slot"), F.coalesce(F.try_element_at("_tau", i), F.lit(float("inf"))).alias("tau"))
+        return asking.join(known, [*keys, "sample_id"], "left").withColumn("wants", F.transform(gaps, want)).drop("_tau")
+
+    search = _Search(queries.select(side), donors.select(side), keys, "sample_id", block, schema, stage)
+    best = search.run(block_rows, wants)
     order = Window.partitionBy(*keys, "sample_id", "pos").orderBy("dist", "donor_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -202,7 +257,7 @@ def knn_impute(
     """Fill gaps with the mean of the k nearest train rows that have the feature; without any, its train mean."""
     keys = list(matrix.keys)
     donors = matrix.rows.where(train_rows())
-    near = nearest_donor_values(matrix.rows.where(has_gap(F.col("x"))), donors, keys, k, block_rows)
+    near = nearest_donor_values(matrix.rows.where(has_gap(F.col("x"))), donors, keys, k, block_rows, stage)
     fills = (
         near.groupBy(*keys, "sample_id", "pos")
         .agg(F.avg("value").alias("value"))
@@ -226,7 +281,8 @@ def knn_impute(
 
 
 def nearest_rows(
-    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int | None = None
+    queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int | None = None,
+    stage=lambda df, name: df,
 ) -> DataFrame:
     """The nearest other rows: keys..., row_id, y, kind, donor_id, donor_y, dist, rank.
 
@@ -235,7 +291,6 @@ def nearest_rows(
     """
     keys = list(keys)
     side = [*keys, "row_id", "y", "x"]
-    q, d = _in_blocks(queries.select(side), donors.select(side), keys, "row_id", block_rows)
     schema = T.StructType(
         [
             *_fields(queries, [*keys, "row_id"]),
@@ -276,8 +331,18 @@ def nearest_rows(
         out = out.assign(kind=kind, donor_id=ids[col], donor_y=y[col], dist=np.round(dist, DISTANCE_DIGITS))
         return out[schema.names]
 
-    group = [*keys, "qblock", "dblock"]
-    best = cogroup_apply(q, d, group, block, schema)
+    def wants(asking: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows no farther than the k-th one found, and kin no farther than the last of its own."""
+        kin = F.col("kind") == "kin"
+        tau = _farthest(found, [*keys, "row_id"], F.when(kin, k_kin).otherwise(k), F.when(kin, F.col("y") + 1).otherwise(0))
+        known = tau.groupBy(*keys, "row_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "tau"))).alias("_tau"))
+        slots = F.array(F.lit(0), *([F.col("y") + 1] if k_kin else []))
+        want = lambda i: F.struct(i.alias("slot"), F.coalesce(F.try_element_at("_tau", i), F.lit(float("inf"))).alias("tau"))
+        return asking.join(known, [*keys, "row_id"], "left").withColumn("wants", F.transform(slots, want)).drop("_tau")
+
+    search = _Search(queries.select(side), donors.select(side), keys, "row_id", block, schema, stage)
+    of_class = [F.count_if(F.col("y") == c) for c in (0, 1)]
+    best = search.run(block_rows, wants, F.array(F.count(F.lit(1)), *of_class))
     order = Window.partitionBy(*keys, "row_id", "kind").orderBy("dist", "donor_id")
     wanted = F.when(F.col("kind") == "all", k).otherwise(k_kin)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, k_kin)).where(
@@ -312,7 +377,7 @@ def borderline_smote(
     counts = counts.withColumn("_new", F.when(short, error).otherwise(F.col("_new")))
     counts = stage(counts.select(*keys, "minority", "_new"), "smote-counts")
     minority = rows.join(counts.select(*keys, F.col("minority").alias("y")), [*keys, "y"])
-    near = stage(nearest_rows(minority, rows, keys, m, k, block_rows), "smote-near")
+    near = stage(nearest_rows(minority, rows, keys, m, k, block_rows, stage), "smote-near")
     others = near.where(F.col("kind") == "all").groupBy(*keys, "row_id").agg(
         F.count_if(F.col("donor_y") != F.col("y")).alias("_other")
     )
