@@ -14,9 +14,6 @@ a hash of their texts; empty tables make no files; extra columns are not read.
 
 from __future__ import annotations
 
-import gc
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,23 +24,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from peaklake.llm.common import small_batches, text_or_empty, workspace
+from peaklake.llm.common import byte_batches, text_bytes, text_or_empty, workspace
 from peaklake.llm.huffman import Code, code_lengths
+from peaklake.llm.wordhash import _powers, mix
 
 BLOCK_IDS = 1 << 20
 END_ID = 0
-MEMO_WORDS = 1 << 18  # of each of two generations
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-BATCH_TEXTS = 256
-OTHER_SPACE = re.compile("[\t\v-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MEMO_WORDS = 1 << 19
+JOINED_WORDS = 1 << 14
+FIRST, SPACED, LINED = 0, 1, 2  # where a part stands
+#: White space beyond ASCII as UTF-8: the first byte and what may follow.
+WIDE_SPACE = (
+    (0xC2, ((0x85, 0xA0),)), (0xE1, ((0x9A,), (0x80,))), (0xE1, ((0xA0,), (0x8E,))),
+    (0xE2, ((0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF))), (0xE2, ((0x81,), (0x9F,))), (0xE3, ((0x80,), (0x80,))),
+)
+U = np.uint64
+_ODD = np.zeros(256, bool)
+_ODD[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = True
+_MARK[48:58] = False
+_MARK &= ~_LETTER
+_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 
 class Tokens:
-    """Ids of texts as little-endian bytes, equal to those of the tokenizer without special tokens added.
-
-    Texts are cut before single spaces and at single line ends, where byte-level pre-tokenization cuts too; parts seen
-    before are looked up. Texts with adjacent white space or with the string of an added token go to the tokenizer
-    whole, as do texts with other white space than spaces and line ends. A full memo becomes the old one, from which words in use are taken over; that changes no result.
+    """Ids of texts, equal to those of the tokenizer without special tokens added.
+
+    Texts are cut before single spaces, at single line ends and between a letter and a mark (of ASCII), where byte-level
+    pre-tokenization cuts too, into parts: one behind a line end, one behind a space, or neither. The parts of about a megabyte of texts are hashed together
+    and found in a sorted table of known ones, whose bytes are compared with each; ids are gathered by offsets. Parts not
+    seen before are tokenized together, joined by line ends. Texts with adjacent white space or with the string of an added
+    token go to the tokenizer whole, as do texts with other white space than spaces and line ends or with a part whose
+    hash belongs to another one. A full table is emptied; that changes no result.
     """
 
     def __init__(self, path: str):
@@ -51,69 +65,161 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.joined = ("  ", " \n", "\n ", "\n\n", *added)
-        self.heads, self.rest = _Memo(self, ""), _Memo(self, " ")
-        self.line = self._ids(["\n"])[0]
-        self.end = np.array([END_ID], self.dtype).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def _whole(self, text: str) -> bool:
-        return any(j in text for j in self.joined) or OTHER_SPACE.search(text) is not None
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id."""
-        cut = [None if self._whole(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = [line for doc in cut if doc for line in doc]
-        heads = self.heads.learn({line[0] for line in lines})
-        rest = self.rest.learn(set().union(*(line[1:] for line in lines))).__getitem__
-        out = []
-        for text, doc in zip(texts, cut, strict=True):
-            if doc is None:
-                ids = self._ids([text])[0]
-            else:
-                ids = self.line.join([heads[line[0]] + b"".join(map(rest, line[1:])) for line in doc])
-            out.append(ids + self.end)
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line, self.space = self._ids(["\n", " "])
+        self._empty()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _empty(self) -> None:
+        self.hashes, self.order, self.kinds = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int8)
+        self.bytes, self.ids = _Ragged(np.uint8), _Ragged(self.dtype)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian bytes."""
+        joined, cuts = text_bytes(texts)
+        n = len(cuts) - 1
+        # every text is followed by one byte that ends its last part
+        data = np.zeros(len(joined) + n, np.uint8)
+        ends = cuts[1:] + np.arange(n)
+        inside = np.ones(len(data), bool)
+        inside[ends] = False
+        data[inside] = joined
+        whole = self._whole(data, inside, ends)
+        gone = (data == 32) | (data == 10) | ~inside  # ends a part and belongs to none
+        marked = np.zeros(len(data), bool)
+        marked[1:] = _MARK[data[1:]] & _LETTER[data[:-1]] & inside[1:]
+        cut = np.flatnonzero(gone | marked)
+        start = np.concatenate(([0], cut[:-1] + gone[cut[:-1]]))
+        before = np.concatenate(([0], np.where(inside[cut[:-1]] & gone[cut[:-1]], data[cut[:-1]], 0)))
+        kinds = np.where(before == 32, SPACED, np.where(before == 10, LINED, FIRST)).astype(np.int8)
+        owner = np.concatenate(([0], np.cumsum(~inside[cut])[:-1]))
+        plain = ~whole[owner]
+        found, same = self._look_up(data, start[plain], cut[plain], kinds[plain])
+        whole[owner[plain][~same]] = True
+        keep = ~whole[owner[plain]]
+        sizes, ids = self.ids.gather(found[keep])
+        doc = owner[plain][keep]
+        out = np.full(len(ids) + n, END_ID, self.dtype)
+        out[np.arange(len(ids)) + np.repeat(doc, sizes)] = ids
+        stop = np.cumsum(np.bincount(doc, sizes, n).astype(np.int64) + 1)
+        parts = [out[a:b].tobytes() for a, b in zip(np.concatenate(([0], stop[:-1])), stop, strict=True)]
+        rest = np.flatnonzero(whole)
+        if len(rest):
+            end = np.array([END_ID], self.dtype)
+            for i, ids in zip(rest.tolist(), self._ids(texts.take(pa.array(rest)).to_pylist()), strict=True):
+                parts[i] = np.concatenate((ids, end)).tobytes()
+        return parts
+
+    def _whole(self, data: np.ndarray, inside: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Texts that may not be cut."""
+        space = ((data == 32) | (data == 10)) & inside
+        odd = _ODD[data] & inside
+        odd[1:] |= space[1:] & space[:-1]
+        for lead, rest in WIDE_SPACE:
+            at = np.flatnonzero(data[: -len(rest)] == lead) if len(data) > len(rest) else np.zeros(0, np.int64)
+            for i, values in enumerate(rest):
+                at = at[np.isin(data[at + 1 + i], values)]
+            odd[at] = True
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                odd[at] = True
+                at = raw.find(token, at + 1)
+        out = np.zeros(len(ends), bool)
+        out[np.searchsorted(ends, np.flatnonzero(odd))] = True
         return out
 
-
-class _Memo:
-    """Ids of ``prefix`` + part. Letters followed by marks are cut between the two, as pre-tokenization does."""
-
-    def __init__(self, tokens: Tokens, prefix: str):
-        self.ids, self.prefix = tokens._ids, prefix
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-        self.ends = frozenset(MARKS)
-
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """A table that has all of ``parts``."""
-        if len(self.now) > MEMO_WORDS:
-            self.old, self.now = self.now, {}
-        now = self.now
-        missing = parts.difference(now)
-        for p in missing & self.old.keys():
-            now[p] = self.old[p]
-        missing.difference_update(now)
-        cores = {p: core for p in missing if p[-1:] in self.ends and (core := p.rstrip(MARKS)).isalpha()}
-        new = [*missing.difference(cores), *set(cores.values()).difference(now)]
-        now.update(zip(new, self.ids([self.prefix + p for p in new]), strict=True))
-        for p, core in cores.items():
-            now[p] = now[core] + self._mark(p[len(core):])
-        return now
-
-    def _mark(self, marks: str) -> bytes:
-        found = self.marks.get(marks)
-        if found is None:
-            found = self.ids([marks])[0]
-            if len(self.marks) < 1 << 12:
-                self.marks[marks] = found
-        return found
+    def _look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each part in the table, whether it is that part)."""
+        hashes = _hashes(data, start, end, kinds)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > MEMO_WORDS:
+            self._empty()
+        at = np.searchsorted(self.hashes, unique)
+        new = np.ones(len(unique), bool)
+        there = at < len(self.hashes)
+        new[there] = self.hashes[at[there]] != unique[there]
+        if new.any():
+            some = first[new]
+            self._learn(unique[new], kinds[some], data, start[some], end[some] - start[some])
+            at = np.searchsorted(self.hashes, unique)
+        found = self.order[at][inverse]
+        same = (self.kinds[found] == kinds) & (self.bytes.sizes[found] == end - start)
+        sizes, known = self.bytes.gather(found[same])
+        own = data[np.arange(len(known)) + np.repeat(start[same] - (np.cumsum(sizes) - sizes), sizes)]
+        wrong = np.repeat(np.flatnonzero(same), sizes)[own != known]
+        same[wrong] = False
+        return found, same
+
+    def _learn(self, hashes: np.ndarray, kinds: np.ndarray, data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> None:
+        """Add parts (sorted hashes) to the table."""
+        places = np.empty(len(hashes), np.int64)
+        blank, spaced = sizes == 0, kinds == SPACED
+        for some in (np.flatnonzero(~blank & ~spaced), np.flatnonzero(~blank & spaced), np.flatnonzero(blank)):
+            for a in range(0, len(some), JOINED_WORDS):
+                part = some[a : a + JOINED_WORDS]
+                places[part] = len(self.kinds) + np.arange(len(part))
+                self.kinds = np.concatenate((self.kinds, kinds[part]))
+                if blank[part[0]]:
+                    self.bytes.append(np.zeros(0, np.uint8), np.zeros(len(part), np.int64), sizes[part])
+                    both = np.concatenate((self.line, self.space))
+                    lined, own = kinds[part] == LINED, kinds[part] == SPACED
+                    self.ids.append(both, np.where(own, len(self.line), 0), np.where(lined, len(self.line), np.where(own, len(self.space), 0)))
+                else:
+                    self._tokenize(data, start[part], sizes[part], kinds[part])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.order = np.insert(self.hashes, at, hashes), np.insert(self.order, at, places)
+
+    def _tokenize(self, data: np.ndarray, start: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> None:
+        """Add ids and bytes of parts that all stand behind a space or all do not; each is put behind a line end."""
+        lead = 1 + int(kinds[0] == SPACED)
+        begin = np.cumsum(sizes + lead) - sizes
+        text = np.full(int(begin[-1] + sizes[-1]), 10, np.uint8)
+        if lead == 2:
+            text[begin - 1] = 32
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        text[within + np.repeat(begin, sizes)] = data[within + np.repeat(start, sizes)]
+        self.bytes.append(text, begin, sizes)
+        if len(self.line) == 1:
+            ids = self._ids([text.tobytes().decode()])[0]
+            at = np.flatnonzero(ids == self.line[0])
+            if len(at) == len(start):
+                first = at + (kinds != LINED)
+                self.ids.append(ids, first, np.append(at[1:], len(ids)) - first)
+                return
+        words = [text[a - lead + 1 : a + n].tobytes().decode() for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+        rows = [np.concatenate((self.line, r)) if k == LINED else r for r, k in zip(self._ids(words), kinds, strict=True)]
+        lengths = np.array([len(r) for r in rows], np.int64)
+        self.ids.append(np.concatenate(rows), np.cumsum(lengths) - lengths, lengths)
+
+
+class _Ragged:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, dtype):
+        self.flat, self.starts, self.sizes = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate((self.starts, len(self.flat) + starts))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, contents) of these rows."""
+        sizes = self.sizes[rows]
+        before = np.cumsum(sizes) - sizes
+        return sizes, self.flat[np.arange(int(sizes.sum())) + np.repeat(self.starts[rows] - before, sizes)]
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, from running sums over all bytes."""
+    up, down = _powers(max(19, int(len(data) + 1).bit_length()))
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) + (kinds.astype(U) << U(48)))
 
 
 @lru_cache(maxsize=2)
@@ -121,30 +227,30 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-BLOCKS = "part int, block int, ids {}, sizes array<bigint>, data binary"
+BLOCKS = "part int, block int, inner bigint, ids {}, sizes array<bigint>, data binary"
+_NAMES = ["part", "block", "inner", "ids", "sizes", "data"]
 
 
-def _blocks(path: str, key: pa.DataType):
-    """Tokenize a sorted partition into blocks of whole documents."""
+def _blocks(path: str, key: pa.DataType, block_ids: int):
+    """Tokenize a sorted partition into blocks of whole documents; ``inner`` counts the ids of the partition before a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, block = _tokens(path), TaskContext.get().partitionId(), 0
-        gc.disable()  # nothing here is cyclic, and a full collection walks the whole memo
+        tokens, part, block, inner = _tokens(path), TaskContext.get().partitionId(), 0, 0
         width, ids, data, held = tokens.dtype.itemsize, [], [], 0
 
         def flush() -> pa.RecordBatch:
             sizes = [len(d) // width for d in data]
-            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.list_(key)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())]
-            return pa.RecordBatch.from_arrays(row, ["part", "block", "ids", "sizes", "data"])
+            row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([inner], pa.int64()), pa.array([ids], pa.list_(key)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(data)], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, _NAMES)
 
-        for batch in small_batches(batches, BATCH_TEXTS):
-            for doc, found in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in byte_batches(batches):
+            for doc, found in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1)), strict=True):
                 ids.append(doc)
                 data.append(found)
                 held += len(found)
-                if held >= BLOCK_IDS * width:
+                if held >= block_ids * width:
                     yield flush()
-                    block, ids, data, held = block + 1, [], [], 0
+                    block, inner, ids, data, held = block + 1, inner + held // width, [], [], 0
         if ids:
             yield flush()
 
@@ -169,13 +275,13 @@ def _coded(dtype: np.dtype, lengths: bytes):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                image = code.encode(np.frombuffer(row.column(4)[0].as_buffer(), dtype))
-                yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([image], pa.binary())], ["part", "block", "ids", "sizes", "data"])
+                image = code.encode(np.frombuffer(row.column(5)[0].as_buffer(), dtype))
+                yield pa.RecordBatch.from_arrays([*row.columns[:5], pa.array([image], pa.binary())], _NAMES)
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Write ``path``/blocks (coded blocks in ascending id order) and ``path``/code (lengths of the code)."""
     spark = docs.sparkSession
     work = workspace(spark, "tokens")
@@ -184,7 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     tie = F.xxhash64("t")
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), tie).sortWithinPartitions(F.col("id").asc_nulls_first(), tie)
     schema = BLOCKS.format(f"array<{kind.simpleString()}>")
-    blocks = work.stage(ordered.mapInArrow(_blocks(tokenizer, to_arrow_type(kind)), schema), "blocks")
+    blocks = work.stage(ordered.mapInArrow(_blocks(tokenizer, to_arrow_type(kind), block_ids), schema), "blocks")
     tokens = _tokens(tokenizer)
     size = max(END_ID + 1, tokens.tokenizer.get_vocab_size())
     # as many rows as the vocabulary has ids
@@ -203,16 +309,14 @@ def _decoded(lengths: bytes):
         code = Code(np.frombuffer(lengths, np.uint8))
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = code.decode(batch.column(4)[i].as_py()).astype("<u4")
-                sizes = batch.column(3)[i].values.to_numpy()
+                ids = code.decode(batch.column(5)[i].as_py()).astype("<u4")
+                sizes = batch.column(4)[i].values.to_numpy()
                 ends = np.cumsum(sizes)
-                docs = batch.column(2)[i].values
+                docs = batch.column(3)[i].values
                 data = [ids[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0)[i].as_py(), n).astype(np.int32)), pa.array(np.repeat(batch.column(1)[i].as_py(), n).astype(np.int32)), docs, pa.array(ends - sizes), pa.array(sizes), pa.array(data, pa.binary())],
-                    ["part", "block", "id", "offset", "n", "ids"],
-                )
+                part = np.repeat(batch.column(0)[i].as_py(), len(docs)).astype(np.int32)
+                offset = ends - sizes + batch.column(2)[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(part), docs, pa.array(offset), pa.array(sizes), pa.array(data, pa.binary())], ["part", "id", "offset", "n", "ids"])
 
     return run
 
@@ -222,14 +326,13 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     blocks = spark.read.parquet(f"{path}/blocks")
     lengths = bytes(spark.read.parquet(f"{path}/code").first()[0])
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    rows = blocks.mapInArrow(_decoded(lengths), f"part int, block int, id {kind}, offset bigint, n bigint, ids binary")
-    sizes = blocks.select("part", "block", F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n"))
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row per written partition
-    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before().orderBy("part")), F.lit(0)).alias("base"))
-    inner = F.coalesce(F.sum("n").over(before("part").orderBy("block")), F.lit(0))
-    starts = sizes.select("part", "block", inner.alias("inner")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inner")).alias("base"))
-    return rows.join(F.broadcast(starts), ["part", "block"]).select(
+    rows = blocks.mapInArrow(_decoded(lengths), f"part int, id {kind}, offset bigint, n bigint, ids binary")
+    own = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    parts = blocks.groupBy("part").agg(F.max(F.col("inner") + own).alias("n"))
+    before = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # one row for each partition that wrote, 16 bytes each: fewer than the tasks that the driver keeps track of
+    return rows.join(F.broadcast(parts), "part").select(
         F.col("id").alias(id_col), (F.col("base") + F.col("offset")).alias("start"), F.col("n").alias("n_tokens"), "ids"
     )
 
