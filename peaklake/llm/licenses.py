@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form (case, lines that state a copyright, equivalent spellings, punctuation and white
 space), hashed whole, and hash-joined with the digests of known license texts, which went through the same form. The
-same lookup is made for every line of a document, because a notice is usually one line under other text. The table of
-known digests has some hundred rows, so it is broadcast; documents stay where they are.
+same lookup is made for the lines of a document, because a notice is usually one line under other text. Only lines with a
+word that some known form cannot do without are brought to the canonical form at all (``anchors``); the others match nothing.
+Digests are staged beside row numbers and joined with the known ones by size; texts stay where they are.
 
 Defined results: a null text counts as empty; empty texts and lines match nothing; null and repeated ids and repeated
 rows give one row each; if two known texts share a canonical form, the alphabetically first name is reported; other
@@ -12,15 +13,18 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections import Counter
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peaklake.llm.common import text_or_empty
+from peaklake.llm.common import text_or_empty, workspace
 
 Texts = list[tuple[str, str]] | DataFrame | None
 
+ANCHORED_FORMS = 20_000  # with more known forms than that, every line is looked up
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What follows the word in running text, as opposed to a year, a sign or a name: such lines state no copyright.
@@ -51,10 +55,6 @@ STEPS = (
     (r"[\x00-/:-@\[-`{-\x7f]+", " "),
 )
 
-#: The form before, by which the SQL goes: it knows no statement from running text and joins no lines. Both agree on
-#: texts without lines that begin with a copyright and without spellings broken over two lines.
-SQL_STEPS = ((r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$", ""), STEPS[2], *STEPS[4:])
-
 #: Names of licenses and the forms in which notices give them.
 NAMES = {
     "MIT": ("MIT License", "MIT"),
@@ -183,8 +183,8 @@ TITLES = {
 }
 
 
-def sql_texts() -> list[tuple[str, str]]:
-    """(license, text) of the first whole texts and of all notices, which the SQL knows."""
+def notices() -> list[tuple[str, str]]:
+    """(license, text) of all one-line notices and the first whole texts."""
     made = [(name, notice.format(form)) for name, forms in NAMES.items() for form in forms for notice in NOTICES]
     return sorted(set(TEXTS.items()) | set(made))
 
@@ -197,7 +197,7 @@ def known_texts() -> list[tuple[str, str]]:
         for name, body in bodies
         for title in (*TITLES.get(name, ()), *NAMES[name], *[f"The {form}" for form in NAMES[name]])
     }
-    return sorted(bodies | titled | set(sql_texts()))
+    return sorted(bodies | titled | set(notices()))
 
 
 def canonical(text: Column) -> Column:
@@ -211,17 +211,46 @@ def _digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, texts: Texts = None) -> DataFrame:
-    """(digest, license): one row per canonical form."""
+def known_forms(spark: SparkSession, texts: Texts = None) -> DataFrame:
+    """(digest, form, license): one row per canonical form."""
     given = isinstance(texts, DataFrame)
     pairs = known_texts() if given or not texts else texts
     rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in pairs])
     known = spark.range(1).select(F.inline(rows))
     if given:
         known = known.unionByName(texts.select("license", "text").where(F.length(canonical(F.col("text"))) > 0))
-    return (
-        known.groupBy(_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
-    )
+    forms = known.select(canonical(F.col("text")).alias("form"), "license")
+    return forms.groupBy("form").agg(F.min("license").alias("license")).select(F.sha2("form", 256).alias("digest"), "form", "license")
+
+
+#: What a step puts into a text; words with such a piece need not stand in it as they are in the canonical form.
+MADE = ("licens", "copyright", "holder", "organiz", "realiz", "recogniz", "authoriz", "fav", "behav", "hono", "non", "commercial", "and")
+#: Words that do not tell a notice from other prose.
+COMMON = frozenset("by the of in to for with is be this that under or an it as on at are was not from".split())
+
+
+def anchors(forms: Iterable[str]) -> str | None:
+    """A pattern that every lower-cased text with one of these canonical forms contains; None if there is none.
+
+    Every form has a whole word that no step makes, or one with "licens": greedily, few long words cover all.
+    """
+    open_ = []
+    for form in forms:
+        plain = {w for w in form.split(" ") if re.fullmatch("[a-z]+[a-z0-9]+", w) and not re.fullmatch("v[0-9]+", w) and not any(m in w for m in MADE)}
+        words = plain - COMMON or plain
+        if "licens" in form:
+            words.add("licen[cs]")
+        if not words:
+            return None
+        open_.append(words)
+    chosen = set()
+    while open_:
+        counts = Counter(w for words in open_ for w in words)
+        chosen.add(min(counts, key=lambda w: (-counts[w] * min(len(w), 7) ** 3, w)))
+        open_ = [words for words in open_ if not words & chosen]
+    whole = "|".join(sorted(chosen - {"licen[cs]"}))
+    parts = [f"(?<![a-z0-9])(?:{whole})(?![a-z0-9])"] * bool(whole) + ["licen[cs]"] * ("licen[cs]" in chosen)
+    return "|".join(parts)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Texts = None) -> DataFrame:
@@ -229,19 +258,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
 
     ``license`` is null if the whole text is no known one; ``notices`` are the licenses named by lines, in
     alphabetical order, comma-joined, each once. A list of ``texts`` replaces the known texts; a table (license, text) comes on top of
-    them, for bodies that this module does not hold. They must fit a broadcast.
+    them, for bodies that this module does not hold. Known digests are staged and joined by their size.
     """
-    known = known_digests(docs.sparkSession, texts)
-    whole = F.broadcast(known.select(F.col("digest").alias("canonical_sha256"), "license"))
-    table = F.broadcast(known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license"))).alias("known")))
-    lines = F.filter(F.split("t", "\n"), lambda line: F.length(line) > 0)
-    named = F.transform(lines, lambda line: F.element_at(F.col("known"), _digest(line)))
-    rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("t"), F.lit(1).alias("one"))
+    work = workspace(docs.sparkSession, "licenses")
+    forms = work.stage(known_forms(docs.sparkSession, texts), "known")
+    known = forms.select("digest", "license")
+    few = forms.limit(ANCHORED_FORMS + 1).select("form").collect()
+    pattern = anchors(r["form"] for r in few) if len(few) <= ANCHORED_FORMS else None
+    lines = F.filter(F.split(F.translate("t", UPPER, LOWER), "\n"), lambda line: F.length(line) > 0)
+    if pattern is not None:
+        lines = F.filter(lines, lambda line: line.rlike(pattern))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("t"), F.monotonically_increasing_id().alias("row"))
+    found = F.array_distinct(F.transform(lines, _digest))
+    rows = work.stage(rows.select("row", "id", _digest(F.col("t")).alias("canonical_sha256"), found.alias("lines")), "digests")
+    named = rows.select("row", F.explode("lines").alias("digest")).join(known, "digest")
+    named = named.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))  # of some tens of names
+    whole = known.withColumnRenamed("digest", "canonical_sha256")
     return (
-        rows.join(table.withColumn("one", F.lit(1)), "one", "left")
-        .select(id_col, _digest(F.col("t")).alias("canonical_sha256"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(named))), ",").alias("notices"))
-        .join(whole, "canonical_sha256", "left")
-        .select(id_col, "canonical_sha256", "license", "notices")
+        rows.drop("lines").join(whole, "canonical_sha256", "left").join(named, "row", "left")
+        .select(F.col("id").alias(id_col), "canonical_sha256", "license", F.coalesce("notices", F.lit("")).alias("notices"))
     )
 
 
@@ -251,11 +286,11 @@ def oracle_sql() -> str:
 
     def canon(col: str) -> str:
         out = f"translate({col}, '{UPPER}', '{LOWER}')"
-        for pattern, to in SQL_STEPS:
+        for pattern, to in STEPS:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('$', chr(92)))}, 'g')"
         return f"sha256(trim({out}))"
 
-    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sql_texts())
+    values = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in known_texts())
     return f"""WITH k AS (SELECT {canon('t')} AS digest, min(n) AS license FROM (VALUES {values}) v(n, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices

@@ -59,3 +59,20 @@ def test_further_bodies_from_a_table(spark):
     more = spark.createDataFrame([("X-1", "Do as you\nlike with this."), ("X-0", " ")], "license string, text string")
     docs = spark.createDataFrame([(0, "do as you like\nwith this"), (1, licenses.TEXTS["MIT"]), (2, "")], "doc_id long, text string")
     assert [r["license"] for r in licenses.scan(docs, texts=more).orderBy("doc_id").collect()] == ["X-1", "MIT", None]
+
+
+def test_every_known_form_has_an_anchor(spark):
+    forms = [r["form"] for r in licenses.known_forms(spark).collect()]
+    pattern = licenses.anchors(forms)
+    assert pattern is not None and pattern.count("|") < 24
+    assert licenses.anchors(["mit", "v2"]) is None and licenses.anchors(["by the mit"]) == "(?<![a-z0-9])(?:mit)(?![a-z0-9])"
+
+
+def test_lines_that_can_match_are_all_looked_up(spark, monkeypatch):
+    """The same notices with and without the choice of lines, for every known text on one line in odd spelling."""
+    texts = [t for _, t in licenses.known_texts()][::3]
+    odd = [" ".join(t.split()).replace("icens", "icenc").upper() if i % 2 else t.replace("license", "licence") for i, t in enumerate(texts)]
+    docs = [f"some prose\n{a}\nmore\n * {b}." for a, b in zip(odd, reversed(odd), strict=True)] + ["and\nnothing here", ""]
+    chosen = found(spark, docs)
+    monkeypatch.setattr(licenses, "ANCHORED_FORMS", 0)
+    assert found(spark, docs) == chosen and sum(bool(n) for _, n, _ in chosen) > 200
