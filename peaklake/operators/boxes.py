@@ -57,22 +57,28 @@ def choose_pivots(rows: DataFrame, keys: Sequence[str], id_col: str, wanted: Col
     return some.select(*keys, id_col, "x", "_m", "_u").groupBy(*keys).applyInPandas(spread, schema)
 
 
-def nearest_pivot(rows: DataFrame, pivots: DataFrame, keys: Sequence[str], id_col: str, name: str) -> DataFrame:
-    """``rows`` with the number of their nearest pivot under ``name``; 0 for keys without pivots and rows without a common feature."""
+def nearest_pivot(rows: DataFrame, pivots: DataFrame, keys: Sequence[str], id_col: str, name: str, distance: str | None = None) -> DataFrame:
+    """``rows`` with the number of their nearest pivot under ``name``; 0 for keys without pivots and rows without a common feature.
+
+    The distance to it, by the features that both have, is added under ``distance``; infinite without a pivot.
+    """
     keys = list(keys)
     counts = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_chunks"))
     left = rows.join(counts, keys).withColumn("_chunk", F.pmod(F.xxhash64(id_col), "_chunks").cast("int")).drop("_chunks")
     right = pivots.join(counts, keys).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks")
-    schema = T.StructType([*[f for f in rows.schema if f.name != name], T.StructField(name, T.IntegerType())])
+    more = [T.StructField(name, T.IntegerType())] + ([T.StructField(distance, T.DoubleType())] if distance else [])
+    schema = T.StructType([*[f for f in rows.schema if f.name != name], *more])
 
     def assign(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
             return pd.DataFrame(columns=schema.names)
-        cell = np.zeros(len(rows), np.int32)
+        cell, far = np.zeros(len(rows), np.int32), np.full(len(rows), np.inf)
         if len(found):
             points = np.vstack([np.asarray(r, dtype=np.float64) for r in found["pivots"].iloc[0]])
-            cell[:] = gap_distances(points)(np.vstack([np.asarray(r, dtype=np.float64) for r in rows["x"]])).argmin(axis=1)
-        return rows.assign(**{name: cell})[schema.names]
+            apart = gap_distances(points)(np.vstack([np.asarray(r, dtype=np.float64) for r in rows["x"]]))
+            cell[:] = apart.argmin(axis=1)
+            far = np.sqrt(points.shape[1] * apart.min(axis=1))
+        return rows.assign(**{name: cell}, **({distance: far} if distance else {}))[schema.names]
 
     return cogroup_apply(left, right, [*keys, "_chunk"], assign, schema)
 

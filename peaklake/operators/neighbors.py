@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 
-from peaklake.operators import boxes
+from peaklake.operators import balls, boxes
 from peaklake.functions.hashing import draw_int, draw_key, draw_unit
 from peaklake.functions.vectors import dense, has_gap
 from peaklake.operators.cogroup import cogroup_apply
@@ -350,6 +350,42 @@ def nearest_rows(
     )
 
 
+def danger_and_kin(
+    minority: DataFrame, rows: DataFrame, keys: Sequence[str], k: int, m: int, block_rows: int | None = None, stage=lambda df, name: df
+) -> tuple[DataFrame, DataFrame]:
+    """(keys..., row_id of the minority rows in danger; keys..., row_id, kin_id, _k: their k nearest minority rows at least).
+
+    Keys of one block of rows list all neighbours from one set of distances. In keys with more, counts in balls settle most
+    rows (``balls``); neighbours are sought only for those left open, and kin, among the minority alone, only for rows in danger.
+    """
+    keys = list(keys)
+    sizes = stage(_sizes(minority, rows, keys, block_rows), "smote-sizes").where("_dblocks > 1").select(*keys).collect()  # keys
+    spark = rows.sparkSession
+    large = spark.createDataFrame(sizes, T.StructType(_fields(rows, keys))) if sizes else None
+    split = lambda side, how: side if large is None else side.join(large, keys, how)
+    near = stage(nearest_rows(split(minority, "left_anti"), split(rows, "left_anti"), keys, m, k, block_rows, stage), "smote-near")
+    danger = _in_danger(near.where(F.col("kind") == "all"), keys, m)
+    kin = near.where(F.col("kind") == "kin")
+    if large is not None:
+        some, all_ = (side.join(large, keys, "left_semi") for side in (minority, rows))
+        told = stage(balls.verdicts(some, balls.balls_of(all_.select(*keys, "row_id", "y", "x"), keys, stage), keys, m), "smote-verdicts")
+        open_ = some.join(told.where(F.col("verdict") == balls.OPEN), [*keys, "row_id"], "left_semi")
+        counted = _in_danger(nearest_rows(open_, all_, keys, m, 0, block_rows, stage), keys, m)
+        sure = told.where(F.col("verdict") == balls.DANGER).select(*keys, "row_id")
+        found = stage(counted.unionByName(sure), "smote-large-danger")
+        starts = some.join(found, [*keys, "row_id"], "left_semi")
+        kin = kin.unionByName(nearest_rows(starts, some, keys, k, 0, block_rows, stage))
+        danger = danger.unionByName(found)
+    kin = kin.select(*keys, "row_id", F.col("donor_id").alias("kin_id"), F.col("rank").alias("_k"))
+    return danger, (kin if large is None else stage(kin, "smote-kin"))
+
+
+def _in_danger(near: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
+    """keys..., row_id: at least half, but not all, of the m nearest rows are of the other class."""
+    others = near.groupBy(*keys, "row_id").agg(F.count_if(F.col("donor_y") != F.col("y")).alias("_other"))
+    return others.where((F.col("_other") * 2 >= m) & (F.col("_other") < m)).select(*keys, "row_id")
+
+
 DRAWS_PER_CHUNK = 10_000
 
 
@@ -377,11 +413,7 @@ def borderline_smote(
     counts = counts.withColumn("_new", F.when(short, error).otherwise(F.col("_new")))
     counts = stage(counts.select(*keys, "minority", "_new"), "smote-counts")
     minority = rows.join(counts.select(*keys, F.col("minority").alias("y")), [*keys, "y"])
-    near = stage(nearest_rows(minority, rows, keys, m, k, block_rows, stage), "smote-near")
-    others = near.where(F.col("kind") == "all").groupBy(*keys, "row_id").agg(
-        F.count_if(F.col("donor_y") != F.col("y")).alias("_other")
-    )
-    danger = others.where((F.col("_other") * 2 >= m) & (F.col("_other") < m)).select(*keys, "row_id")
+    danger, kin = danger_and_kin(minority, rows, keys, k, m, block_rows, stage)
     ranked = hash_rank(danger.withColumn("_h", draw_key(seed, F.col("row_id"))), keys, "_h", "row_id", name="_d")
     ranked = stage(ranked.select(*keys, "row_id", "_d"), "smote-danger")
     per_key = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_danger")).join(counts, keys)
@@ -401,7 +433,6 @@ def borderline_smote(
         (F.pmod(draw_int(*named, "kin"), F.lit(k)) + 1).alias("_k"),
         draw_unit(*named, "gap").alias("_u"),
     )
-    kin = near.where(F.col("kind") == "kin").select(*keys, "row_id", F.col("donor_id").alias("kin_id"), F.col("rank").alias("_k"))
     starts = rows.select(*keys, "row_id", "x")
     ends = rows.select(*keys, F.col("row_id").alias("kin_id"), F.col("x").alias("_end"))
     made = (
