@@ -40,7 +40,7 @@ class Problem:
     accelerate: bool = True
     step_size: float | None = None
     record: bool = False
-    largest_row: float | None = None  # largest squared norm of a row, without the intercept
+    largest_row: float | np.ndarray | None = None  # largest squared norm of a row, without the intercept; one or one per model
 
 
 @dataclass
@@ -73,8 +73,18 @@ def batch_sums(
     x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str, delta: float, curvature: bool,
     along: np.ndarray | None = None,
 ):
-    """Sums over the rows of one batch for every model in ``w``; ``x`` ends with a column of ones."""
+    """Sums over the rows of one batch for every model in ``w``; ``x`` ends with a column of ones.
+
+    ``s`` weighs the rows, all models alike or, with a column for each, every model in its own way.
+    """
     value, slope, bend = loss_terms(loss, y[:, None] * (x @ w.T), delta)
+    if s.ndim == 2:
+        total, grad = (s * value).sum(axis=0), (slope * s * y[:, None]).T @ x
+        if along is not None:
+            return total, grad, (bend * s * (x @ along.T)).T @ x
+        if not curvature:
+            return total, grad, None
+        return total, grad, np.stack([(x * (s[:, j] * bend[:, j])[:, None]).T @ x for j in range(w.shape[0])])
     total = s @ value
     grad = (slope * (s * y)[:, None]).T @ x
     if along is not None:
@@ -104,7 +114,8 @@ def solve(problem: Problem, evaluate: Evaluate) -> Fit:
 
 def _only(problem: Problem, evaluate: Evaluate, some: np.ndarray) -> tuple[Problem, Evaluate]:
     """The problem of some of the models."""
-    part = replace(problem, l1=problem.l1[some], l2=problem.l2[some], free=problem.free[some])
+    rows = problem.largest_row[some] if isinstance(problem.largest_row, np.ndarray) else problem.largest_row
+    part = replace(problem, l1=problem.l1[some], l2=problem.l2[some], free=problem.free[some], largest_row=rows)
     return part, lambda w, which, *more: evaluate(w, some[which], *more)
 
 
@@ -132,7 +143,7 @@ def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
     delta = HINGE_WIDTHS[-1]
     bend = CURVATURE[problem.loss] / (delta if problem.loss == "hinge" else 1.0)
     if problem.step_size is None and not problem.accelerate and problem.largest_row is not None:
-        step = np.full(m, 1.0 / (bend * problem.largest_row + 1e-12))
+        step = np.ones(m) / (bend * problem.largest_row + 1e-12)
     elif problem.step_size is None:
         step = 1.0 / (bend * _largest_eigenvalue(problem, evaluate) + problem.l2)
     else:

@@ -65,7 +65,7 @@ SPEC_COLUMNS = [
 ]
 
 
-def _problem(models: pd.DataFrame, n_rows: np.ndarray, p: int, largest_row: float) -> Problem:
+def _problem(models: pd.DataFrame, n_rows: np.ndarray, p: int, largest_row: float | np.ndarray) -> Problem:
     """Models of equal settings as one problem; ``n_rows`` is the number of drawn rows behind each model.
 
     ``largest_row`` is the largest squared norm of a whole row, whatever positions a model uses.
@@ -102,16 +102,18 @@ def _result(models: pd.DataFrame, fit) -> pd.DataFrame:
 def _class_weights(y01: np.ndarray, mult: np.ndarray, balanced: bool) -> np.ndarray:
     if not balanced:
         return mult
-    n, n_pos = mult.sum(), mult[y01 == 1].sum()
-    return mult * np.where(y01 == 1, n / (2.0 * n_pos), n / (2.0 * (n - n_pos)))
+    n, n_pos = mult.sum(axis=0), mult[y01 == 1].sum(axis=0)
+    positive = y01 == 1 if mult.ndim == 1 else (y01 == 1)[:, None]
+    return mult * np.where(positive, n / (2.0 * n_pos), n / (2.0 * (n - n_pos)))
 
 
 def _fit_group(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
     """All models of one key in one task."""
     y01 = rows["y"].to_numpy()
-    mult = rows["multiplicity"].to_numpy(dtype=np.float64)
+    drawn = "draw" in models
+    mult = np.vstack(rows["multiplicity"].to_list()).astype(np.float64) if drawn else rows["multiplicity"].to_numpy(dtype=np.float64)
     x = np.vstack([np.asarray(r, dtype=np.float64) for r in rows["x"]])
-    p = x.shape[1]
+    p, norms = x.shape[1], (x * x).sum(axis=1)
     parts = []
     for (kind, *_rest), group in models.groupby([*SETTINGS, "balanced"], dropna=False):
         # Columns no model of the group uses are left out of all products.
@@ -119,13 +121,15 @@ def _fit_group(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         used = np.arange(p) if any(l is None for l in lists) else np.unique(np.concatenate([np.asarray(l, int) for l in lists]))
         local = group.assign(positions=[None if l is None else np.searchsorted(used, l) for l in lists])
         xs = np.column_stack([x[:, used], np.ones(len(x))])
-        s = _class_weights(y01, mult, bool(group["balanced"].iloc[0])) / mult.sum()
+        own = mult[:, group["draw"].to_numpy()] if drawn else mult
+        s = _class_weights(y01, own, bool(group["balanced"].iloc[0])) / own.sum(axis=0)
         signs = 2.0 * y01 - 1.0
-        problem = _problem(local, np.full(len(group), mult.sum()), len(used), float((x * x).sum(axis=1).max()))
+        largest = np.where(own > 0, norms[:, None], 0.0).max(axis=0) if drawn else float(norms.max())
+        problem = _problem(local, own.sum(axis=0) * np.ones(len(group)), len(used), largest)
 
         def evaluate(w, which, delta, curvature, along=None):
             loss = "quadratic" if delta < 0 else problem.loss
-            return batch_sums(xs, signs, s, w, loss, delta, curvature, along)
+            return batch_sums(xs, signs, s[:, which] if drawn else s, w, loss, delta, curvature, along)
 
         fit = solve(problem, evaluate)
         full = np.zeros((len(group), p + 1))
@@ -156,21 +160,25 @@ def fit_linear(
 
     Returns keys..., model, coef (full length, 0 outside ``positions``), intercept, n_steps, converged, history.
     Pass a staged or cached ``rows``: it is read by the size check and again by the fit.
+
+    ``multiplicity`` may be an array of several draws of the same rows; each model then names its ``draw``, a place in it.
+    Rows are held and read once for all draws.
     """
     keys = list(keys)
     if "multiplicity" not in rows.columns:
         rows = rows.withColumn("multiplicity", F.lit(1))
     rows = rows.select(*keys, "y", "multiplicity", "x")
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"), F.sum("multiplicity").alias("drawn"),
-        F.sum(F.col("y") * F.col("multiplicity")).alias("positive"), F.max(sq_norm(F.col("x"))).alias("r2"),
-    )
+    draws = isinstance(rows.schema["multiplicity"].dataType, T.ArrayType)
+    if draws != ("draw" in models.columns):
+        raise ValueError("models name a draw if, and only if, the rows have arrays of multiplicities")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("p"))
     large = [r.asDict() for r in sizes.where(F.col("n") * F.col("p") > max_local_values).collect()]
     schema = _result_schema(rows, models, keys)
     spark = rows.sparkSession
     if not large:
         return _fit_local(rows, models, keys, schema)
     large_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in large], T.StructType([rows.schema[k] for k in keys]))
+    _add_draws(large, rows.join(large_keys, keys, "left_semi"), keys, draws)
     small = _fit_local(rows.join(large_keys, keys, "left_anti"), models, keys, schema)
     big = _fit_distributed(
         rows.join(large_keys, keys, "left_semi"), models.join(large_keys, keys, "left_semi"), keys, schema, large
@@ -178,8 +186,28 @@ def fit_linear(
     return small.unionByName(big)
 
 
+def _add_draws(large: list[dict], rows: DataFrame, keys: list[str], draws: bool) -> None:
+    """Give every key its drawn rows, the positive ones among them and the largest row: arrays with one place per draw."""
+    multiplicity = F.posexplode("multiplicity") if draws else F.posexplode(F.array("multiplicity"))
+    each = rows.select(*keys, "y", sq_norm(F.col("x")).alias("r2"), multiplicity.alias("draw", "m")).where("m > 0")
+    found = each.groupBy(*keys, "draw").agg(F.sum("m").alias("drawn"), F.sum(F.col("y") * F.col("m")).alias("positive"), F.max("r2").alias("r2"))
+    by_key = {tuple(r[k] for k in keys): r for r in large}
+    for r in found.collect():  # one row for each key and draw, as many as there are models or fewer
+        size = by_key[tuple(r[k] for k in keys)]
+        for name in ("drawn", "positive", "r2"):
+            size.setdefault(name, {})[r["draw"]] = float(r[name])
+    for size in large:
+        n = 1 + max(size["drawn"])
+        for name in ("drawn", "positive", "r2"):
+            size[name] = np.array([size[name].get(i, np.nan) for i in range(n)])
+
+
+def _spec_columns(models: DataFrame) -> list[str]:
+    return [*SPEC_COLUMNS, *(["draw"] if "draw" in models.columns else [])]
+
+
 def _fit_local(rows: DataFrame, models: DataFrame, keys: list[str], schema: T.StructType) -> DataFrame:
-    specs = models.select(*keys, *SPEC_COLUMNS)
+    specs = models.select(*keys, *_spec_columns(models))
     parts = F.ceil(F.count(F.lit(1)) / MAX_MODELS_PER_TASK).cast("int")
     counts = specs.groupBy(*keys).agg(parts.alias("_parts"))
     specs = specs.join(counts, keys).withColumn("_part", F.pmod(F.xxhash64("model"), "_parts").cast("int"))
@@ -204,41 +232,44 @@ def _fit_distributed(
     """One job per optimiser step over all large keys. The driver holds weights and sums, never rows."""
     spark = rows.sparkSession
     by_key = {tuple(r[k] for k in keys): r for r in sizes}
-    specs = models.select(*keys, *SPEC_COLUMNS).toPandas()  # a table of settings, one row per model
+    specs = models.select(*keys, *_spec_columns(models)).toPandas()  # a table of settings, one row per model
     rows = rows.persist()
     fits = []
+    if "draw" not in specs:
+        specs["draw"] = 0
     specs["_p"] = [by_key[tuple(r)]["p"] for r in specs[keys].itertuples(index=False)]
-    specs["_r2"] = [by_key[tuple(r)]["r2"] for r in specs[keys].itertuples(index=False)]
-    for _, same in specs.groupby([*SETTINGS, "balanced", "_p", "_r2"], dropna=False):
-        p, largest_row = int(same["_p"].iloc[0]), float(same["_r2"].iloc[0])
+    for _, same in specs.groupby([*SETTINGS, "balanced", "_p"], dropna=False):
+        p = int(same["_p"].iloc[0])
         # weights of all trial lengths, and the curvature of models that sum it up
         values = (p + 1) * (len(LINE_LENGTHS) + (p + 1 if p < DIRECT_FEATURES else 1))
         width = max(1, MAX_DRIVER_VALUES // values)
         for start in range(0, len(same), width):
             batch = same.iloc[start:start + width].reset_index(drop=True)
             owners = [tuple(r) for r in batch[keys].itertuples(index=False)]
-            drawn = np.array([float(by_key[o]["drawn"]) for o in owners])
-            problem = _problem(batch, drawn, p, largest_row)
-            evaluate = _job(rows, keys, owners, by_key, bool(batch["balanced"].iloc[0]), problem.loss, p)
+            draw = batch["draw"].to_numpy()
+            drawn, largest = (np.array([by_key[o][c][d] for o, d in zip(owners, draw, strict=True)]) for c in ("drawn", "r2"))
+            problem = _problem(batch, drawn, p, largest)
+            evaluate = _job(rows, keys, owners, draw, by_key, bool(batch["balanced"].iloc[0]), problem.loss, p)
             fits.append(batch[keys].join(_result(batch, solve(problem, evaluate))))
     rows.unpersist()
     found = pd.concat(fits, ignore_index=True)[schema.names]
     return spark.createDataFrame(list(found.astype(object).itertuples(index=False, name=None)), schema)
 
 
-def _job(rows: DataFrame, keys: list[str], owners: list[tuple], sizes: dict, balanced: bool, loss_name: str, p: int):
+def _job(rows: DataFrame, keys: list[str], owners: list[tuple], draw: np.ndarray, sizes: dict, balanced: bool, loss_name: str, p: int):
     """An ``evaluate`` that runs one Spark job: partial sums per (partition, model), then a keyed sum."""
     spark = rows.sparkSession
+    several = isinstance(rows.schema["multiplicity"].dataType, T.ArrayType)
 
     def evaluate(w: np.ndarray, which: np.ndarray, delta: float, curvature: bool, along: np.ndarray | None = None):
         loss = "quadratic" if delta < 0 else loss_name
         asked: dict[tuple, list[int]] = defaultdict(list)
         for slot, model in enumerate(which):
             asked[owners[model]].append(slot)
-        shared = spark.sparkContext.broadcast((w, dict(asked), along))
+        shared = spark.sparkContext.broadcast((w, dict(asked), along, draw[which]))
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights, slots_of, vectors = shared.value
+            weights, slots_of, vectors, draws = shared.value
             sums: dict[int, np.ndarray] = {}
             for pdf in batches:
                 for key, group in pdf.groupby(keys):
@@ -247,10 +278,15 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], sizes: dict, bal
                         continue
                     size = sizes[key]
                     y01 = group["y"].to_numpy()
-                    s = group["multiplicity"].to_numpy(dtype=np.float64) / float(size["drawn"])
+                    own = draws[slots] if several else 0
+                    n, pos = size["drawn"][own], size["positive"][own]
+                    if several:
+                        s = np.vstack(group["multiplicity"].to_list()).astype(np.float64)[:, own] / n
+                    else:
+                        s = group["multiplicity"].to_numpy(dtype=np.float64) / n
                     if balanced:
-                        n, pos = float(size["drawn"]), float(size["positive"])
-                        s = s * np.where(y01 == 1, n / (2.0 * pos), n / (2.0 * (n - pos)))
+                        positive = (y01 == 1)[:, None] if several else y01 == 1
+                        s = s * np.where(positive, n / (2.0 * pos), n / (2.0 * (n - pos)))
                     x = np.vstack([np.asarray(r, dtype=np.float64) for r in group["x"]])
                     x = np.column_stack([x, np.ones(len(x))])
                     turned = None if vectors is None else vectors[slots]
