@@ -144,12 +144,15 @@ class _Search:
         self.block, self.schema, self.stage = block, schema, stage
         self.group = [*self.keys, "qblock", "dblock"]
 
-    def run(self, block_rows: int | None, wants, serves: Column | None = None) -> DataFrame:
+    def run(self, block_rows: int | None, wants, serves: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
         """All that ``block`` gives for the pairs of blocks that must meet.
 
         ``wants(queries, found)`` adds what a query still wants after its first block as (slot, tau), see ``boxes_within``.
+        ``sizes`` are given if it is known that every key has a single block of donors.
         """
         keys, spark = self.keys, self.queries.sparkSession
+        if sizes is not None:
+            return self._met(*self._single(self.queries, self.donors, sizes))
         sizes = self.stage(_sizes(self.queries, self.donors, keys, block_rows), "block-sizes")
         many = sizes.where("_dblocks > 1").collect()  # one row for each key of many donors
         if not many:
@@ -282,7 +285,7 @@ def knn_impute(
 
 def nearest_rows(
     queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int | None = None,
-    stage=lambda df, name: df,
+    stage=lambda df, name: df, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """The nearest other rows: keys..., row_id, y, kind, donor_id, donor_y, dist, rank.
 
@@ -342,7 +345,7 @@ def nearest_rows(
 
     search = _Search(queries.select(side), donors.select(side), keys, "row_id", block, schema, stage)
     of_class = [F.count_if(F.col("y") == c) for c in (0, 1)]
-    best = search.run(block_rows, wants, F.array(F.count(F.lit(1)), *of_class))
+    best = search.run(block_rows, wants, F.array(F.count(F.lit(1)), *of_class), sizes)
     order = Window.partitionBy(*keys, "row_id", "kind").orderBy("dist", "donor_id")
     wanted = F.when(F.col("kind") == "all", k).otherwise(k_kin)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, k_kin)).where(
@@ -359,11 +362,12 @@ def danger_and_kin(
     rows (``balls``); neighbours are sought only for those left open, and kin, among the minority alone, only for rows in danger.
     """
     keys = list(keys)
-    sizes = stage(_sizes(minority, rows, keys, block_rows), "smote-sizes").where("_dblocks > 1").select(*keys).collect()  # keys
+    sizes = stage(_sizes(minority, rows, keys, block_rows), "smote-sizes")
+    found = sizes.where("_dblocks > 1").select(*keys).collect()  # keys
     spark = rows.sparkSession
-    large = spark.createDataFrame(sizes, T.StructType(_fields(rows, keys))) if sizes else None
+    large = spark.createDataFrame(found, T.StructType(_fields(rows, keys))) if found else None
     split = lambda side, how: side if large is None else side.join(large, keys, how)
-    near = stage(nearest_rows(split(minority, "left_anti"), split(rows, "left_anti"), keys, m, k, block_rows, stage), "smote-near")
+    near = stage(nearest_rows(split(minority, "left_anti"), split(rows, "left_anti"), keys, m, k, block_rows, stage, split(sizes, "left_anti")), "smote-near")
     danger = _in_danger(near.where(F.col("kind") == "all"), keys, m)
     kin = near.where(F.col("kind") == "kin")
     if large is not None:
