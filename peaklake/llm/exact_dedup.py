@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql import types as T
 
 from peaklake.llm.common import broadcast_if_small, text_or_empty, workspace
@@ -44,12 +45,18 @@ def _rows(frame: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
     return frame.select(digest(text).alias("digest"), locator.alias("at"), text.alias("t"))
 
 
+def _columns(spark: SparkSession, path: str, id_col: str, text_col: str) -> StructType:
+    """Both columns alone, so that no other column of the files can hide the file's own place and row."""
+    return StructType([f for f in spark.read.parquet(path).schema if f.name in (id_col, text_col)])
+
+
 def keyed_state(
     spark: SparkSession, path: str, state_dir: str, id_col: str, text_col: str,
     digest: Callable[[Column], Column] = sha256, batch_bytes: int = 64 << 30,
 ) -> DataFrame:
     """Run the stream to the end of the files; the state as (digest, keep struct<id, file, row>, n)."""
-    schema = spark.read.parquet(path).select(id_col, text_col).schema
+    path = path.rstrip("/")
+    schema = _columns(spark, path, id_col, text_col)
     # a file source takes folders or patterns; as a pattern the path may also be a single file
     pattern = f"{path[:-1]}[{path[-1]}]"
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(pattern)
@@ -90,7 +97,7 @@ def deduplicate(
     """One row per document: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``."""
     work = workspace(spark, "exact-dedup")
     state = work.stage(keyed_state(spark, path, state_dir or work.path, id_col, text_col, digest), "state")
-    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
+    rows = _rows(spark.read.schema(_columns(spark, path, id_col, text_col)).parquet(path), id_col, text_col, digest)
     hits = broadcast_if_small(state.where("n > 1"))
     same_row = F.col("at").eqNullSafe(F.col("keep"))
 
