@@ -22,6 +22,7 @@ from peaklake.operators.columns import column_stats, pack, train_rows
 from peaklake.operators.matrix import Matrix
 from peaklake.operators.ranking import hash_rank
 from peaklake.operators.sampling import class_counts, random_under_sample
+from peaklake.workspace import Workspace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,11 @@ SLICE_ROWS = 128  # queries of a block that are handled at once
 DISTANCE_DIGITS = 9  # distances are compared after rounding, so equal rows tie whatever the block layout
 
 
+def as_is(df: DataFrame, name: str) -> DataFrame:
+    """No staging: for callers that run a single small search."""
+    return df
+
+
 def _stack(rows: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(r, dtype=np.float64) for r in rows])
 
@@ -141,7 +147,8 @@ class _Search:
 
     def __init__(self, queries: DataFrame, donors: DataFrame, keys: Sequence[str], id_col: str, block, schema: T.StructType, stage):
         self.queries, self.donors, self.keys, self.id_col = queries, donors, list(keys), id_col
-        self.block, self.schema, self.stage = block, schema, stage
+        self.block, self.schema = block, schema
+        self.stage = Workspace(queries.sparkSession, "neighbours").stage if stage is as_is else stage  # the steps read each other many times
         self.group = [*self.keys, "qblock", "dblock"]
 
     def run(self, block_rows: int | None, wants, serves: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
@@ -202,7 +209,7 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 
 def nearest_donor_values(
     queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, block_rows: int | None = None,
-    stage=lambda df, name: df,
+    stage=as_is,
 ) -> DataFrame:
     """The k nearest donors of every gap: keys..., sample_id, pos, donor_id, dist, value, rank.
 
@@ -255,7 +262,7 @@ def nearest_donor_values(
 
 
 def knn_impute(
-    matrix: Matrix, k: int, block_rows: int | None = None, stage=lambda df, name: df
+    matrix: Matrix, k: int, block_rows: int | None = None, stage=as_is
 ) -> Matrix:
     """Fill gaps with the mean of the k nearest train rows that have the feature; without any, its train mean."""
     keys = list(matrix.keys)
@@ -285,7 +292,7 @@ def knn_impute(
 
 def nearest_rows(
     queries: DataFrame, donors: DataFrame, keys: Sequence[str], k: int, k_kin: int = 0, block_rows: int | None = None,
-    stage=lambda df, name: df, sizes: DataFrame | None = None,
+    stage=as_is, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """The nearest other rows: keys..., row_id, y, kind, donor_id, donor_y, dist, rank.
 
@@ -354,7 +361,7 @@ def nearest_rows(
 
 
 def danger_and_kin(
-    minority: DataFrame, rows: DataFrame, keys: Sequence[str], k: int, m: int, block_rows: int | None = None, stage=lambda df, name: df
+    minority: DataFrame, rows: DataFrame, keys: Sequence[str], k: int, m: int, block_rows: int | None = None, stage=as_is
 ) -> tuple[DataFrame, DataFrame]:
     """(keys..., row_id of the minority rows in danger; keys..., row_id, kin_id, _k: their k nearest minority rows at least).
 
@@ -362,6 +369,7 @@ def danger_and_kin(
     rows (``balls``); neighbours are sought only for those left open, and kin, among the minority alone, only for rows in danger.
     """
     keys = list(keys)
+    stage = Workspace(rows.sparkSession, "smote").stage if stage is as_is else stage
     sizes = stage(_sizes(minority, rows, keys, block_rows), "smote-sizes")
     found = sizes.where("_dblocks > 1").select(*keys).collect()  # keys
     spark = rows.sparkSession
@@ -401,7 +409,7 @@ def borderline_smote(
     strategy: str | float | dict = "auto",
     seed: int = 42,
     block_rows: int | None = None,
-    stage=lambda df, name: df,
+    stage=as_is,
 ) -> DataFrame:
     """Synthetic minority rows near the border: keys..., row_id, y, x (the new rows only).
 
@@ -461,7 +469,7 @@ def _synthetic_count(strategy: str | float | dict) -> Column:
 def resample(
     rows: DataFrame, keys: Sequence[str], under_sample: bool, smote: bool, seed: int = 42, *,
     target_ratio: float | None = 5.0, under_sample_strategy: str | float | dict = "auto",
-    smote_strategy: str | float | dict = "auto", k: int = 5, m: int = 10, stage=lambda df, name: df,
+    smote_strategy: str | float | dict = "auto", k: int = 5, m: int = 10, stage=as_is,
 ) -> DataFrame:
     """Under-sample, then add synthetic rows: keys..., row_id, y, x. Both steps are optional; pass staged rows."""
     out = rows.select(*keys, "row_id", "y", "x")

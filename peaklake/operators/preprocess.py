@@ -11,7 +11,7 @@ from peaklake.functions.hashing import draw_unit
 from peaklake.functions.scalars import finite_positive
 from peaklake.operators.columns import column_stats, min_positive, missing_share, pack, train_rows
 from peaklake.operators.matrix import Matrix, pick
-from peaklake.operators.neighbors import knn_impute
+from peaklake.operators.neighbors import as_is, knn_impute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +103,7 @@ def never_observed(matrix: Matrix) -> DataFrame:
     return matrix.positions().join(stats, [*matrix.keys, "pos"]).select(*matrix.keys, "feature_id")
 
 
-def preprocess(matrix: Matrix, config: Preprocess, stage=lambda df, name: df) -> Matrix:
+def preprocess(matrix: Matrix, config: Preprocess, stage=as_is) -> Matrix:
     """log2 -> drop what was never observed -> low-value fill -> nearest neighbours -> scale.
 
     Takes normalised values. ``stage`` writes a table and reads it back; with it each step is computed once and
