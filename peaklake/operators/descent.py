@@ -2,9 +2,11 @@
 
 Both work on ``evaluate(W, which, delta, curvature, along)``, which returns the sums of loss, gradient and curvature
 of the models ``which`` at the weights ``W`` (one row per model, intercept last); with ``along`` the third part is the
-curvature times these vectors. The caller decides whether the sums come from arrays in a task or from a Spark job, so
-there is one optimiser for both cases. Which one a model gets depends on its loss and penalty alone, never on its
-width, its data or the models beside it.
+curvature times these vectors, and with an array for ``curvature`` it is the curvature among these columns alone. The
+caller decides whether the sums come from arrays in a task or from a Spark job, so there is one optimiser for both
+cases. Which one a model gets depends on its loss and penalty, never on its data or the models beside it; only a sparse
+model that comes to need more than ``DIRECT_FEATURES`` weights at once, or more than ``SPARSE_STEPS`` steps, is finished
+by proximal steps.
 
 Minimised: mean weighted loss + l1 * |w|_1 + l2 / 2 * |w|^2, intercept free.
 """
@@ -22,9 +24,14 @@ HINGE_WIDTHS = (1.0, 0.1, 0.01, 0.001)  # the hinge is rounded off, ever more ti
 # Newton systems of wider models are solved without forming them; the steps are the same.
 DIRECT_FEATURES = 256
 LINE_LENGTHS = 4.0 ** -np.arange(0, 13)
+NEW_FEATURES = 32  # a working set takes in so many features at first, later as many as have a weight
+
+SWEEPS = 100  # of coordinate descent in one sparse step
+SPARSE_STEPS = 40  # after these, proximal steps go on
 
 CHECKED_STEPS = 10  # the first ones and then every tenth
 Evaluate = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray | None]]
+NO_COLUMN = -1  # fills up the rows of an array of columns
 
 
 @dataclass
@@ -70,14 +77,22 @@ def loss_terms(loss: str, margin: np.ndarray, delta: float):
 
 
 def batch_sums(
-    x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str, delta: float, curvature: bool,
+    x: np.ndarray, y: np.ndarray, s: np.ndarray, w: np.ndarray, loss: str, delta: float, curvature: bool | np.ndarray,
     along: np.ndarray | None = None,
 ):
     """Sums over the rows of one batch for every model in ``w``; ``x`` ends with a column of ones.
 
-    ``s`` weighs the rows, all models alike or, with a column for each, every model in its own way.
+    ``s`` weighs the rows, all models alike or, with a column for each, every model in its own way. ``curvature`` may be
+    an array of columns, one row per model, filled up with ``NO_COLUMN``: then it is summed among these only.
     """
     value, slope, bend = loss_terms(loss, y[:, None] * (x @ w.T), delta)
+    if isinstance(curvature, np.ndarray):
+        each = s if s.ndim == 2 else s[:, None]
+        among = np.zeros((*curvature.shape, curvature.shape[1]))
+        for j, columns in enumerate(curvature):
+            some = x[:, columns[columns != NO_COLUMN]]
+            among[j, : some.shape[1], : some.shape[1]] = (some * (each[:, j if s.ndim == 2 else 0] * bend[:, j])[:, None]).T @ some
+        return (each * value).sum(axis=0), (slope * each * y[:, None]).T @ x, among
     if s.ndim == 2:
         total, grad = (s * value).sum(axis=0), (slope * s * y[:, None]).T @ x
         if along is not None:
@@ -96,12 +111,15 @@ def batch_sums(
 
 def solve(problem: Problem, evaluate: Evaluate) -> Fit:
     smooth = problem.l1 == 0
-    if not problem.accelerate or not smooth.any():
+    sparse = _sparse_newton if problem.step_size is None and problem.loss != "hinge" else _proximal
+    if not problem.accelerate:
         return _proximal(problem, evaluate)
+    if not smooth.any():
+        return sparse(problem, evaluate)
     if smooth.all():
         return _newton(problem, evaluate)
     fit = None
-    for some, optimiser in ((np.flatnonzero(smooth), _newton), (np.flatnonzero(~smooth), _proximal)):
+    for some, optimiser in ((np.flatnonzero(smooth), _newton), (np.flatnonzero(~smooth), sparse)):
         part = optimiser(*_only(problem, evaluate, some))
         if fit is None:
             m, p1 = problem.free.shape
@@ -137,7 +155,7 @@ def _largest_eigenvalue(problem: Problem, evaluate: Evaluate, rounds: int = 20)
     return np.maximum(1.1 * value, 1e-12)
 
 
-def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
+def _proximal(problem: Problem, evaluate: Evaluate, start: np.ndarray | None = None) -> Fit:
     """Proximal gradient steps, accelerated with restarts unless ``accelerate`` is off."""
     m, p1 = problem.free.shape
     delta = HINGE_WIDTHS[-1]
@@ -148,7 +166,8 @@ def _proximal(problem: Problem, evaluate: Evaluate) -> Fit:
         step = 1.0 / (bend * _largest_eigenvalue(problem, evaluate) + problem.l2)
     else:
         step = np.full(m, problem.step_size)
-    w, v, t = np.zeros((m, p1)), np.zeros((m, p1)), np.ones(m)
+    w = np.zeros((m, p1)) if start is None else start.copy()
+    v, t = w.copy(), np.ones(m)
     steps, done = np.zeros(m, dtype=int), np.zeros(m, dtype=bool)
     history: list[list[float]] = [[] for _ in range(m)]
     for _ in range(problem.max_iter):
@@ -275,3 +294,123 @@ def _conjugate_gradients(problem, evaluate, w, which, grad, size, delta) -> np.n
         along[o] = residual[o] + (new / norm[o])[:, None] * along[o]
         norm[o] = new
     return found
+
+
+def _violation(problem: Problem, w: np.ndarray, grad: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """By how much each weight misses the condition of the optimum; ``grad`` includes the L2 penalty."""
+    l1 = problem.l1[which][:, None]
+    body, slope = w[:, :-1], grad[:, :-1]
+    off = np.where(body != 0, np.abs(slope + l1 * np.sign(body)), np.maximum(np.abs(slope) - l1, 0.0))
+    return np.column_stack([off, np.abs(grad[:, -1])]) * problem.free[which]
+
+
+def _working_set(problem: Problem, model: int, w: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Columns of the next step: those with a weight, the intercept, and the weightless ones that miss their condition most."""
+    p = w.size - 1
+    kept = np.flatnonzero(w[:p])
+    missing = np.flatnonzero((w[:p] == 0) & (off[:p] > 0))
+    room = max(1, min(max(NEW_FEATURES, kept.size), DIRECT_FEATURES - kept.size))
+    if missing.size > room:
+        missing = missing[np.argsort(-off[missing], kind="stable")[:room]]
+    columns = np.concatenate([kept, missing, [p]])
+    return np.sort(columns[problem.free[model, columns] > 0])
+
+
+def _sparse_step(system: np.ndarray, target: np.ndarray, l1: np.ndarray, u: np.ndarray, near: float) -> np.ndarray:
+    """Least of u' system u / 2 - target' u + l1' |u|: coordinate descent, finished by a linear solve once the signs stand.
+
+    Until they do, changes of slope below ``near`` end it: the next step starts from better slopes anyway.
+    """
+    u, diagonal = u.copy(), np.diag(system)
+    product = system @ u
+    scale = np.abs(target).max() + l1.max()
+    for _ in range(SWEEPS):
+        largest = 0.0
+        for j in range(u.size):
+            pull = target[j] - product[j] + diagonal[j] * u[j]
+            new = (pull - min(max(pull, -l1[j]), l1[j])) / diagonal[j]
+            if new != u[j]:
+                product += system[:, j] * (new - u[j])
+                largest = max(largest, abs(new - u[j]) * diagonal[j])
+                u[j] = new
+        on = np.flatnonzero(u)
+        solved = np.zeros_like(u)
+        solved[on] = np.linalg.solve(system[np.ix_(on, on)], target[on] - l1[on] * np.sign(u[on]))
+        if np.all((np.sign(solved[on]) == np.sign(u[on])) | (l1[on] == 0)):
+            left = np.abs(target - system @ solved)
+            left[on] = 0.0
+            if np.all(left <= l1 + 1e-14 * scale):
+                return solved
+        if largest <= near:
+            break
+    return u
+
+
+def _sparse_newton(problem: Problem, evaluate: Evaluate) -> Fit:
+    """Proximal Newton steps on working sets of features.
+
+    A step takes two passes: one for all slopes and for the curvature among the working set, one for all step lengths
+    together. The model is done when every feature, inside the set or not, meets its condition within ``tol``.
+    """
+    m, p1 = problem.free.shape
+    w = np.zeros((m, p1))
+    steps, done, wide = np.zeros(m, dtype=int), np.zeros(m, dtype=bool), np.zeros(m, dtype=bool)
+    history: list[list[float]] = [[] for _ in range(m)]
+    only_intercept = np.array([p1 - 1])
+    sets = [only_intercept[problem.free[i, only_intercept] > 0] for i in range(m)]
+    for _ in range(problem.max_iter + 1):
+        a = np.flatnonzero(~done & ~wide)
+        if a.size == 0:
+            break
+        columns = np.full((a.size, max(1, max(sets[i].size for i in a))), NO_COLUMN)
+        for row, i in zip(columns, a):
+            row[: sets[i].size] = sets[i]
+        total, grad, bend = evaluate(w[a], a, 1.0, columns)
+        grad[:, :-1] += problem.l2[a][:, None] * w[a][:, :-1]
+        now = total + _penalised(problem, w[a], a)
+        off = _violation(problem, w[a], grad, a)
+        size = off.max(axis=1)
+        done[a] = size <= problem.tol
+        ridge = _ridge(problem, a, size)
+        direction, inside = np.zeros((a.size, p1)), np.ones(a.size, dtype=bool)
+        for r, i in enumerate(a):
+            held = sets[i]
+            if problem.record:
+                history[i].append(float(now[r]))
+            if done[i]:
+                continue
+            if held.size:
+                k = held.size
+                system = bend[r, :k, :k] + np.diag(ridge[r, held])
+                target = system @ w[i, held] - grad[r, held]
+                l1 = np.where(held == p1 - 1, 0.0, problem.l1[i])
+                direction[r, held] = _sparse_step(system, target, l1, w[i, held], 0.01 * size[r]) - w[i, held]
+            outside = np.ones(p1, dtype=bool)
+            outside[held] = False
+            inside[r] = not (off[r, outside] > problem.tol).any()
+        going = ~done[a]
+        a, now, direction, off, inside = a[going], now[going], direction[going], off[going], inside[going]
+        ended = steps[a] >= problem.max_iter
+        if a.size == 0 or ended.all():
+            break
+        tries = w[a][:, None, :] + LINE_LENGTHS[None, :, None] * direction[:, None, :]
+        many, flat = np.repeat(a, LINE_LENGTHS.size), tries.reshape(-1, p1)
+        trial = (evaluate(flat, many, 1.0, False)[0] + _penalised(problem, flat, many)).reshape(a.size, -1)
+        best = trial.argmin(axis=1)
+        better = trial[np.arange(a.size), best] < now
+        w[a[better]] = tries[better, best[better]]
+        steps[a] += 1
+        # No length improves the objective and no feature waits outside: the optimum to machine precision.
+        done[a[~better & inside]] = True
+        for r, i in enumerate(a):
+            sets[i] = _working_set(problem, i, w[i], off[r])
+            wide[i] = np.count_nonzero(w[i]) > DIRECT_FEATURES or steps[i] >= SPARSE_STEPS
+    rest = np.flatnonzero(wide & ~done)
+    if rest.size:
+        part, some = _only(problem, evaluate, rest)
+        fit = _proximal(part, some, w[rest])
+        w[rest], done[rest] = fit.weights, fit.converged
+        steps[rest] += fit.steps
+        for i, line in zip(rest, fit.history):
+            history[i] += line
+    return Fit(w, steps, done, history)

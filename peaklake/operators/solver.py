@@ -240,8 +240,8 @@ def _fit_distributed(
     specs["_p"] = [by_key[tuple(r)]["p"] for r in specs[keys].itertuples(index=False)]
     for _, same in specs.groupby([*SETTINGS, "balanced", "_p"], dropna=False):
         p = int(same["_p"].iloc[0])
-        # weights of all trial lengths, and the curvature of models that sum it up
-        values = (p + 1) * (len(LINE_LENGTHS) + (p + 1 if p < DIRECT_FEATURES else 1))
+        # weights of all trial lengths, and the curvature among the features of a step
+        values = (p + 1) * (len(LINE_LENGTHS) + 1) + min(p + 1, DIRECT_FEATURES) ** 2
         width = max(1, MAX_DRIVER_VALUES // values)
         for start in range(0, len(same), width):
             batch = same.iloc[start:start + width].reset_index(drop=True)
@@ -261,15 +261,16 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], draw: np.ndarray
     spark = rows.sparkSession
     several = isinstance(rows.schema["multiplicity"].dataType, T.ArrayType)
 
-    def evaluate(w: np.ndarray, which: np.ndarray, delta: float, curvature: bool, along: np.ndarray | None = None):
+    def evaluate(w: np.ndarray, which: np.ndarray, delta: float, curvature: bool | np.ndarray, along: np.ndarray | None = None):
         loss = "quadratic" if delta < 0 else loss_name
+        among = curvature if isinstance(curvature, np.ndarray) else None
         asked: dict[tuple, list[int]] = defaultdict(list)
         for slot, model in enumerate(which):
             asked[owners[model]].append(slot)
-        shared = spark.sparkContext.broadcast((w, dict(asked), along, draw[which]))
+        shared = spark.sparkContext.broadcast((w, dict(asked), along, draw[which], among))
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            weights, slots_of, vectors, draws = shared.value
+            weights, slots_of, vectors, draws, columns = shared.value
             sums: dict[int, np.ndarray] = {}
             for pdf in batches:
                 for key, group in pdf.groupby(keys):
@@ -290,7 +291,8 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], draw: np.ndarray
                     x = np.vstack([np.asarray(r, dtype=np.float64) for r in group["x"]])
                     x = np.column_stack([x, np.ones(len(x))])
                     turned = None if vectors is None else vectors[slots]
-                    total, grad, bend = batch_sums(x, 2.0 * y01 - 1.0, s, weights[slots], loss, delta, curvature, turned)
+                    asked_for = curvature if columns is None else columns[slots]
+                    total, grad, bend = batch_sums(x, 2.0 * y01 - 1.0, s, weights[slots], loss, delta, asked_for, turned)
                     for i, slot in enumerate(slots):
                         vector = [total[i:i + 1], grad[i]] + ([] if bend is None else [bend[i].ravel()])
                         vector = np.concatenate(vector)
@@ -304,10 +306,10 @@ def _job(rows: DataFrame, keys: list[str], owners: list[tuple], draw: np.ndarray
             .groupBy("slot", "pos").agg(F.sum("value").alias("value")).toPandas()
         )
         shared.destroy()
-        width = 1 + (p + 1) * (1 + (p + 1 if curvature else along is not None))
-        out = np.zeros((len(which), width))
+        side = among.shape[1] if among is not None else p + 1 if curvature else 0
+        out = np.zeros((len(which), p + 2 + (side * side if along is None else p + 1)))
         out[summed["slot"].to_numpy(), summed["pos"].to_numpy()] = summed["value"].to_numpy()
-        bend = out[:, p + 2:] if along is not None else out[:, p + 2:].reshape(len(which), p + 1, p + 1) if curvature else None
+        bend = out[:, p + 2:] if along is not None else out[:, p + 2:].reshape(len(which), side, side) if side else None
         return out[:, 0], out[:, 1:p + 2], bend
 
     return evaluate
