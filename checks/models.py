@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from checks.fixtures import CONFIG, KNN_SQL, LOG2_SQL, LOW_SQL, SCALE_SQL, SQL, STANDARD_ID, Fixtures
+from checks import fit_sql
 from checks.registry import query
 from checks.stats import EMBED_SQL, one_against_rest
 from peaklake.functions.vectors import has_gap, linear_decision
@@ -320,17 +321,29 @@ def _one_per_label(fx: Fixtures, kind: str, **options) -> DataFrame:
     )
 
 
-@query()
+TIGHT = 1e-9  # of the fits that are compared by value
+
+
+def _one_per_label_sql(loss: str, l1: str, l2: str, balanced: bool = True) -> str:
+    return EMBED_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
+train AS (SELECT pair AS model, sample_id AS id, y, CAST(embedding AS DOUBLE[]) AS x FROM emb),{fit_sql.fits(loss, l1, l2, balanced)}
+SELECT f.model AS pair, round(w[-1], 4) AS intercept, CAST(len(list_filter(w[:-2], lambda v: abs(v) > 1e-6)) AS INT) AS n_nonzero,
+       off <= {TIGHT}::DOUBLE AS converged, {fit_sql.METRICS}
+FROM fitted f JOIN (SELECT model, {fit_sql.COUNTS} FROM decided GROUP BY 1) c ON c.model = f.model
+"""
+
+
+@query(_one_per_label_sql("sq_hinge", f"{LAMBDA}::DOUBLE", "0.0::DOUBLE", balanced=False))
 def l1_squared_hinge_svm(fx):
-    return _one_per_label(fx, "l1_svm", lam=LAMBDA)
+    return _one_per_label(fx, "l1_svm", lam=LAMBDA, tol=TIGHT)
 
 
-@query()
+@query(_one_per_label_sql("logistic", "0.9::DOUBLE / n", "0.1::DOUBLE / n"))
 def elastic_net_logistic(fx):
-    return _one_per_label(fx, "elastic_net", C=1.0, l1_ratio=0.9)
+    return _one_per_label(fx, "elastic_net", C=1.0, l1_ratio=0.9, tol=TIGHT)
 
 
-@query()
+@query(_one_per_label_sql("logistic", "0.0::DOUBLE", "1.0::DOUBLE / n"))
 def l2_logistic(fx):
     return _one_per_label(fx, "logistic", C=1.0)
 
