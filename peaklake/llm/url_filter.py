@@ -8,7 +8,9 @@ list goes first.
 
 Everything works on a table of distinct (host, path) with counts: the groups are combined before they are shuffled, and
 a node hands one row per smoothed purity to the window that merges, at most as many as pairs of counts can share its
-labels. There are as many levels as the deepest path has segments; each reads only the rows that go on.
+labels. A round takes every node over the segments that all its paths share, at once, and then over one branching; so
+there are as many rounds as a path has branchings, however deep it is, and each reads only the rows that go on. Empty
+segments are skipped.
 
 Defined results: a null url or one without ``://`` has empty host and path and, like any other host, a template of its
 own; null and repeated page ids give one row each; labels of unknown pages count for nothing, several labels of one page
@@ -68,28 +70,42 @@ def rule_of(host: Column, path: Column, rules: Sequence[UrlRule], field) -> Colu
     return out
 
 
-def _segment(path: Column, level: int) -> Column:
-    part = F.split_part(path, F.lit("/"), F.lit(level + 2))
-    return F.when(part.rlike(NUMBER), "#").when(part != "", part)
+def _segments(path: Column) -> Column:
+    """The segments that are not empty, variable ones as ``#``."""
+    some = F.filter(F.split(path, "/"), lambda part: part != "")
+    return F.transform(some, lambda part: F.when(part.rlike(NUMBER), "#").otherwise(part))
 
 
-def _levels(path: Column) -> Column:
-    """Number of segments up to the last one that is not empty."""
-    kept = F.rtrim(path, F.lit("/"))
-    return F.length(kept) - F.length(F.replace(kept, F.lit("/"), F.lit("")))
+def _shared(first: Column, last: Column) -> Column:
+    """How many segments the least and the greatest path of a node begin with alike: so many do all of its paths."""
+    same = F.zip_with(first, last, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return (F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)) - 1).cast("int")
+
+
+def _advance(rows: DataFrame) -> DataFrame:
+    """Take the paths of every node over the segments that all of them share."""
+    node = ["host", "t"]
+    ends = rows.groupBy(*node).agg(F.min("rest").alias("first"), F.max("rest").alias("last"))
+    shared = ends.select(*node, _shared(F.col("first"), F.col("last")).alias("passed"))
+    steps = F.transform(F.slice("rest", F.lit(1), F.col("passed")), lambda seg: F.concat(F.lit("/"), seg))
+    left = F.slice("rest", F.col("passed") + 1, F.size("rest"))
+    return rows.join(shared, node).withColumns({"t": F.concat("t", F.array_join(steps, "")), "rest": left}).drop("passed")
 
 
 def templates(sites: DataFrame) -> DataFrame:
     """(host, path, template, purity) of ``sites``: host, path, n, lab, good, staged."""
     work = workspace(sites.sparkSession, "url-templates")
-    totals = sites.agg(F.sum("lab").alias("lab"), F.sum("good").alias("good"), F.max(_levels(F.col("path"))).alias("deepest")).first()
+    totals = sites.agg(F.sum("lab").alias("lab"), F.sum("good").alias("good")).first()
     prior = totals["good"] / totals["lab"] if totals["lab"] else 1.0
-    rows = sites.select("host", "path", "n", "lab", "good", _levels(F.col("path")).alias("levels"), F.lit("").alias("t"))
-    ended = [rows.where("levels = 0")]
-    for level in range(totals["deepest"] or 0):
-        going = rows.where(F.col("levels") > level).withColumn("seg", _segment(F.col("path"), level))
-        rows = work.stage(_generalise(going, prior).drop("seg"), f"level{level}")
-        ended.append(rows.where(F.col("levels") == level + 1))
+    over = F.size("rest") == 0
+    rows = work.stage(sites.withColumns({"rest": _segments(F.col("path")), "t": F.lit("")}), "paths")
+    ended = [rows.where(over)]
+    while not (going := rows.where(~over)).isEmpty():
+        there = work.stage(_advance(going), "shared")
+        ended.append(there.where(over))
+        branching = there.where(~over).withColumns({"seg": F.get("rest", F.lit(0)), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+        rows = work.stage(_generalise(branching, prior).drop("seg"), "branched")
+        ended.append(rows.where(over))
     rows = reduce(DataFrame.unionByName, ended)
     purity = ((F.sum("good") + STRENGTH * prior) / (F.sum("lab") + STRENGTH)).alias("purity")
     judged = rows.groupBy("host", "t").agg(purity)
@@ -99,7 +115,7 @@ def templates(sites: DataFrame) -> DataFrame:
 def _generalise(rows: DataFrame, prior: float) -> DataFrame:
     """Extend the template ``t`` by the segment ``seg``."""
     node = ["host", "t"]
-    kids = rows.where("seg IS NOT NULL").groupBy(*node, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "good")])
+    kids = rows.groupBy(*node, "seg").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "good")])
     sizes = kids.where("seg <> '#'").groupBy(*node).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("pages"))
     sparse = sizes.select(*node, ((F.col("kids") >= FEW) & (F.col("pages") < 2 * F.col("kids"))).alias("sparse"))
     supported = (F.col("n") >= FEW) | (F.col("lab") >= FEW)
@@ -127,7 +143,7 @@ def _generalise(rows: DataFrame, prior: float) -> DataFrame:
     step = F.when(F.col("seg") == "#", "#").otherwise(F.coalesce("name", F.lit("*")))
     return (
         rows.join(names, [*node, "seg"], "left")
-        .withColumn("t", F.when(F.col("seg").isNull(), F.col("t")).otherwise(F.concat("t", F.lit("/"), step))).drop("name")
+        .withColumn("t", F.concat("t", F.lit("/"), step)).drop("name")
     )
 
 
