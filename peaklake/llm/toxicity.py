@@ -6,11 +6,15 @@ of 1, 2 and 3 words run over every position of the whole text; the greatest valu
 one logistic unit. Everything is trained here in numpy by backpropagation: of a pooled value only the place of the maximum
 gets a slope, so a step touches a few hundred rows of the table.
 
-Training takes a bounded sample: at most ``sample_rows`` labelled documents, half of them of each class, and of these
-those that fit into ``sample_words`` words, in the order of the hash of id and text. A fifth of them is not trained on but
+Training takes every labelled document, each distinct text of an id once. Documents are dealt by the hash of id and text
+into blocks of about ``block_rows`` rows and ``block_bytes`` bytes; a block is the work of a task. Each task steps through
+its block from the same start; after every round the moves are averaged (rows of the table by how often a block touched
+them, the rest by documents) and the next round starts from there. The start, too, rests on counts over all blocks. Up to
+one block there is nothing to average and a task does all rounds. A fifth of each block is not trained on but
 calibrates: scores are mapped to probabilities (Platt), weighted back to the classes' shares among all labelled rows, and
 each language gets the threshold that separates its calibration rows best, shrunk towards the common one by its
-number of toxic rows. Language only chooses that threshold; it is never an input of a score.
+number of toxic rows. Of several blocks all calibration rows count, with their logits rounded to 1/``GRID``. Language only
+chooses that threshold; it is never an input of a score.
 
 The model has a fixed size (``BUCKETS`` x ``DIM`` numbers) and goes to the tasks whole; texts are scored where they are
 read, in slices of bounded bytes and windows of bounded words, and nothing is shuffled.
@@ -30,13 +34,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peaklake.llm.common import byte_batches, labelled_sample, text_bytes, text_or_empty, workspace
+from peaklake.llm.common import arrow_rows, broadcast_if_small, byte_batches, labelled_sample, text_bytes, text_or_empty, workspace  # noqa: F401
 from peaklake.llm.wordhash import _VALUES, _powers, mix
 
-SAMPLE_ROWS, SAMPLE_WORDS = 12_000, 8_000_000
+BLOCK_ROWS, BLOCK_BYTES = 12_000, 48 << 20
 BUCKETS, DIM = 1 << 18, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 PAD = max(WIDTHS) - 1  # empty words behind each text
@@ -47,6 +52,9 @@ EPOCHS, LEAST_STEPS, BATCH_DOCS, RATE = 4, 200, 64, 0.03
 THRESHOLD = 0.7  # common threshold, for languages without calibration rows
 SHRINK = 20.0  # toxic rows as which the common threshold counts
 SLICE_BYTES, PIECE_WORDS = 1 << 19, 1 << 16
+CHUNK = 1 << 12  # rows of the table that are added up together
+REST = -1  # chunk of everything beside the table
+GRID, WIDEST = 256, 60.0  # calibration logits of several blocks: steps of 1 and the greatest
 
 U = np.uint64
 _LETTER = np.zeros(256, bool)
@@ -166,25 +174,21 @@ def pad(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Training:
     """Backpropagation through the pooled maxima; Adam for the filters, Adagrad for the touched rows of the table."""
 
-    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 1):
+    def __init__(self, texts: list[np.ndarray], labels: np.ndarray, seed: int | tuple[int, ...] = 1, found: tuple[np.ndarray, np.ndarray, float] | None = None):
+        """``found``: (documents, toxic documents of every row of the table, smoothed share of toxic ones) if known of more texts."""
         self.texts, self.y = texts, labels.astype(np.float64)
         self.draw = np.random.default_rng(seed)
-        self.net = self._start()
+        self.net = self._start(*(found or (*evidence(texts, self.y), (self.y.sum() + 1) / (len(self.y) + 2))))
         self.dense = [*self.net.filters, self.net.bases, self.net.unit]
         self.m, self.v = [np.zeros_like(p) for p in self.dense], [np.zeros_like(p) for p in self.dense]
         self.squares = np.full(BUCKETS, 1e-3, np.float32)
+        self.touched = np.zeros(BUCKETS, np.int32)  # steps that moved a row
         self.step = 0
 
-    def _start(self) -> Net:
+    def _start(self, docs: np.ndarray, toxic: np.ndarray, share: float) -> Net:
         """Random filters; a table whose first column is the smoothed evidence of each row, zero where it is rare."""
-        docs, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for rows, y in zip(self.texts, self.y, strict=True):
-            seen = np.unique(rows)
-            docs[seen] += 1
-            toxic[seen] += int(y)
         self.live = docs >= LEAST_DOCS
         self.live[0] = False
-        share = (self.y.sum() + 1) / (len(self.y) + 2)
         rate = (toxic + PRIOR_DOCS * share) / (docs + PRIOR_DOCS)
         table = self.draw.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
         table[:, 0] = 0.3 * (np.log(rate / (1 - rate)) - np.log(share / (1 - share)))
@@ -197,11 +201,39 @@ class Training:
 
     def run(self) -> Net:
         """``EPOCHS`` times over the texts, on few texts more often."""
-        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH_DOCS // len(self.texts)))):
+        self._epochs(max(EPOCHS, -(-LEAST_STEPS * BATCH_DOCS // len(self.texts))))
+        return self.net
+
+    def _epochs(self, times: int) -> None:
+        for _ in range(times):
             order = self.draw.permutation(len(self.texts))
             for a in range(0, len(order), BATCH_DOCS):
                 self._batch(order[a : a + BATCH_DOCS])
-        return self.net
+
+    def state(self) -> tuple[np.ndarray, np.ndarray]:
+        """(table and squares of its rows, everything else)."""
+        rest = [p.ravel() for p in (*self.dense, *self.m, *self.v)] + [np.array([self.net.base, self.step])]
+        return np.column_stack((self.net.table, self.squares)), np.concatenate(rest)
+
+    def resume(self, rows: np.ndarray, rest: np.ndarray, live: np.ndarray) -> Training:
+        self.net.table, self.squares, self.live = rows[:, :DIM].copy(), rows[:, DIM].copy(), live
+        at = 0
+        for p in (*self.dense, *self.m, *self.v):
+            p[...] = rest[at : at + p.size].reshape(p.shape)
+            at += p.size
+        self.net.base, self.step = float(rest[at]), int(round(rest[at + 1]))
+        return self
+
+    def round(self) -> Iterator[tuple[int, np.ndarray]]:
+        """One of ``EPOCHS`` rounds; then (chunk, weighted moves and weights of its rows) and (``REST``, the rest by documents, documents)."""
+        before, _ = self.state()
+        self.touched[:] = 0
+        self._epochs(max(1, -(-LEAST_STEPS * BATCH_DOCS // (EPOCHS * len(self.texts)))))
+        rows, rest = self.state()
+        weight = self.touched.astype(np.float32)
+        moves = np.column_stack(((rows - before) * weight[:, None], weight))
+        yield from chunks(moves)
+        yield REST, np.append(rest, 1.0) * len(self.texts)
 
     def _batch(self, chosen: np.ndarray) -> None:
         net, n = self.net, len(chosen)
@@ -246,17 +278,49 @@ class Training:
         total = np.zeros((len(rows), DIM), np.float32)
         np.add.at(total, owner, np.concatenate(moves))
         total[~self.live[rows]] = 0
+        self.touched[rows] += 1
         self.squares[rows] += (total**2).mean(axis=1)
         net.table[rows] -= RATE * total / np.sqrt(self.squares[rows])[:, None]
 
 
+def evidence(texts: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, toxic documents) that have each row of the table."""
+    docs, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for rows, label in zip(texts, y, strict=True):
+        seen = np.unique(rows)
+        docs[seen] += 1
+        toxic[seen] += int(label)
+    return docs, toxic
+
+
+def chunks(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of ``CHUNK`` rows in which anything differs from zero."""
+    for k in range(0, len(rows), CHUNK):
+        if rows[k : k + CHUNK].any():
+            yield k // CHUNK, rows[k : k + CHUNK]
+
+
 def calibrate(net: Net, logits: np.ndarray, toxic: np.ndarray, langs: list[str | None], share: float) -> None:
-    """Set slope and shift by weighted logistic regression on smoothed targets, then the thresholds."""
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    if n1 == 0 or n0 == 0:
+    """Set slope and shift, then the thresholds."""
+    if not platt(net, logits, toxic, np.ones(len(toxic)), share):
         return
+    names = np.array([x if x is not None else "" for x in langs])
+    for lang in sorted({x for x in langs if x is not None}):
+        own = names == lang
+        if toxic[own].any():
+            net.thresholds[lang] = own_threshold(net, logits[own], toxic[own], np.ones(own.sum()))
+
+
+def platt(net: Net, logits: np.ndarray, toxic: np.ndarray, times: np.ndarray, share: float) -> bool:
+    """Set slope and shift by weighted logistic regression on smoothed targets and the common threshold; false without both classes.
+
+    A row stands for ``times`` rows.
+    """
+    n1, n0 = (toxic * times).sum(), ((1 - toxic) * times).sum()
+    if n1 == 0 or n0 == 0:
+        return False
     target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(toxic == 1, share / n1, (1 - share) / n0) * len(toxic)
+    weight = np.where(toxic == 1, share / n1, (1 - share) / n0) * times.sum() * times
     at = np.array([1.0, 0.0])
     x = np.stack([logits, np.ones(len(logits))], axis=1)
 
@@ -275,23 +339,24 @@ def calibrate(net: Net, logits: np.ndarray, toxic: np.ndarray, langs: list[str |
         if size * np.abs(move).max() < 1e-8:
             break
     net.slope, net.shift = float(max(at[0], 1e-3)), float(at[1])
-    score = sigmoid(net.slope * logits + net.shift)
-    net.common = _threshold(score, toxic, THRESHOLD)
-    names = np.array([x if x is not None else "" for x in langs])
-    for lang in sorted({x for x in langs if x is not None}):
-        own = names == lang
-        if n := int(toxic[own].sum()):
-            found = _threshold(score[own], toxic[own], net.common)
-            net.thresholds[lang] = float((n * found + SHRINK * net.common) / (n + SHRINK))
+    net.common = _threshold(sigmoid(net.slope * logits + net.shift), toxic, times, THRESHOLD)
+    return True
+
 
+def own_threshold(net: Net, logits: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> float:
+    """The threshold of a language with toxic rows, shrunk towards the common one."""
+    n = int((toxic * times).sum())
+    found = _threshold(sigmoid(net.slope * logits + net.shift), toxic, times, net.common)
+    return float((n * found + SHRINK * net.common) / (n + SHRINK))
 
-def _threshold(score: np.ndarray, toxic: np.ndarray, default: float) -> float:
+
+def _threshold(score: np.ndarray, toxic: np.ndarray, times: np.ndarray, default: float) -> float:
     """The middle of the gap at which rate of caught less rate of wrongly caught rows is greatest."""
     if toxic.min() == toxic.max():
         return default
     order = np.argsort(-score, kind="stable")
-    s, t = score[order], toxic[order]
-    gain = np.cumsum(t) / t.sum() - np.cumsum(1 - t) / (1 - t).sum()
+    s, t, clean = score[order], (toxic * times)[order], ((1 - toxic) * times)[order]
+    gain = np.cumsum(t) / t.sum() - np.cumsum(clean) / clean.sum()
     gain[:-1][s[:-1] == s[1:]] = -1
     k = int(gain.argmax())
     return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
@@ -303,34 +368,169 @@ def known_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> Net:
-    """Train on a bounded sample of the documents that ``labels`` (doc_id, toxic) names."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> Net:
+    """Train on all documents that ``labels`` (doc_id, toxic) names; ``block_rows`` and ``block_bytes`` bound the work of a task."""
     work = workspace(docs.sparkSession, "toxicity")
     known = work.stage(known_labels(labels), "labels")
     counts = dict(known.groupBy("toxic").count().collect())
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    langs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang")).groupBy("id").agg(F.min("lang").alias("lang"))
-    parts = [labelled_sample(work, docs, known.where(F.col("toxic") == k), id_col, text_col, sample_rows // 2) for k in (0, 1)]
-    sample = work.stage(parts[0].unionByName(parts[1]).join(langs, "id", "left"), "rows")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("id is not null").withColumn("h", F.xxhash64("t"))
+    langs = texts.select("id", "lang").join(broadcast_if_small(known), "id").groupBy("id").agg(F.first("toxic").alias("toxic"), F.min("lang").alias("lang"))
+    named = broadcast_if_small(work.stage(langs, "named"))
+    narrow = texts.select("id", "h", F.octet_length("t").alias("size")).join(named, "id").groupBy("id", "h").agg(F.max("size").alias("size"))
+    rows, size = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    blocks = max(1, -(-rows // block_rows), -(-size // block_bytes))
+    block = F.pmod(F.xxhash64(F.lit("block"), "id", "h"), F.lit(blocks)).cast("int")
+    dealt = texts.drop("lang").join(named, "id").withColumn("block", block).repartition(1 if blocks == 1 else 3 * blocks, "block")  # three times: few blocks share a task
+    once = dealt.dropDuplicates(["block", "id", "h", "t"])
+    ordered = once.sortWithinPartitions("block", F.md5(F.concat_ws(":", "id", "h")), "id", "h").select("block", "t", "toxic", "lang")
+    with arrow_rows(docs.sparkSession):
+        net = train_whole(ordered, share) if blocks == 1 else train_blocks(ordered, share)
+    work.close()
+    return net
+
+
+def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, list[str | None]]]:
+    """(block, words of its texts, labels, languages) of every block of a task, whose rows come one block after another."""
+    now, texts, toxic, langs = -1, [], [], []
+    for batch in byte_batches(batches):
+        rows, first = word_rows(*text_bytes(batch.column("t")))
+        columns = (batch.column(x).to_pylist() for x in ("block", "toxic", "lang"))
+        for a, b, block, y, lang in zip(first[:-1], first[1:], *columns, strict=True):
+            if block != now:
+                if texts:
+                    yield now, texts, np.array(toxic), langs
+                now, texts, toxic, langs = block, [], [], []
+            texts.append(rows[a:b].copy())
+            toxic.append(y)
+            langs.append(lang)
+    if texts:
+        yield now, texts, np.array(toxic), langs
+
+
+def train_whole(ordered: DataFrame, share: float) -> Net:
+    """Rows of a single block, in one task."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, names, held = [], [], [], 0
-        for batch in byte_batches(batches):
-            rows, first = word_rows(*text_bytes(batch.column("t")))
-            for a, b, y, lang in zip(first[:-1], first[1:], batch.column("toxic").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if held + b - a <= sample_words:
-                    texts.append(rows[a:b].copy())
-                    toxic.append(y)
-                    names.append(lang)
-                    held += b - a
-        yield pa.RecordBatch.from_arrays([pa.array([train(texts, np.array(toxic), names, share).dump()], pa.binary())], ["net"])
-
-    ordered = sample.repartition(1).sortWithinPartitions(F.md5(F.concat_ws(":", "id", "h")), "id", "h").select("t", "toxic", "lang")
+        for _, texts, toxic, langs in read_blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([train(texts, toxic, langs, share).dump()], pa.binary())], ["net"])
+
     found = ordered.mapInArrow(solve, "net binary").collect()
-    work.close()
     return Net.load(found[0]["net"]) if found else train([], np.zeros(0), [], share)
 
 
+def added_up(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the arrays (chunk, block, data as single precision) of every chunk, in the order of the blocks."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0)
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "data"])
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                part = np.frombuffer(data.as_buffer(), np.float32)
+                if chunk != now:
+                    if now is not None:
+                        yield done()
+                    now, total = chunk, np.zeros(len(part))
+                total += part
+        if now is not None:
+            yield done()
+
+    sums = parts.repartition("chunk").sortWithinPartitions("chunk", "block").mapInArrow(add, "chunk int, data binary")
+    return {r["chunk"]: np.frombuffer(r["data"]) for r in sums.collect()}
+
+
+def whole_table(sums: dict[int, np.ndarray], columns: int) -> np.ndarray:
+    out = np.zeros((BUCKETS, columns))
+    for k, data in sums.items():
+        if k != REST:
+            out[k * CHUNK : (k + 1) * CHUNK] = data.reshape(-1, columns)
+    return out
+
+
+def fitted_rows(texts: list[np.ndarray]) -> np.ndarray:
+    return np.flatnonzero(np.arange(len(texts)) % 5 != 4)
+
+
+def train_blocks(ordered: DataFrame, share: float) -> Net:
+    """Rows of many blocks: counts over all, rounds of steps in each with their moves averaged, calibration by all."""
+    kept = ordered.persist(StorageLevel.DISK_ONLY)
+    part = "chunk int, block int, data binary"
+
+    def parts(block: int, arrays: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for k, data in arrays:
+            columns = [pa.array([k], pa.int32()), pa.array([block], pa.int32()), pa.array([data.astype(np.float32).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "block", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts, toxic, _ in read_blocks(batches):
+            own = fitted_rows(texts)
+            yield from parts(block, chunks(np.column_stack(evidence([texts[i] for i in own], toxic[own]))))
+            yield from parts(block, [(REST, np.array([len(own), toxic[own].sum()]))])
+
+    sums = added_up(kept.mapInArrow(count, part))
+    n, n1 = sums[REST]
+    if n1 in (0, n):
+        kept.unpersist()
+        return train([], np.zeros(0), [], share)
+    docs, toxic = whole_table(sums, 2).T
+    run = Training([], np.zeros(0), 1, (docs, toxic, (n1 + 1) / (n + 2)))
+    live = run.live
+    for k in range(EPOCHS):
+        rows, rest = run.state()
+        sums = added_up(kept.mapInArrow(steps(k, rows, rest, live, parts), part))
+        moves = whole_table(sums, DIM + 2)
+        rows = rows + (moves[:, :-1] / np.maximum(moves[:, -1:], 1)).astype(np.float32)
+        run.resume(rows, sums[REST][:-1] / sums[REST][-1], live)
+    calibrate_blocks(run.net, kept, share)
+    kept.unpersist()
+    return run.net
+
+
+def steps(k: int, rows: np.ndarray, rest: np.ndarray, live: np.ndarray, parts):
+    """The work of round ``k`` on the blocks of a task, from the given state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = np.zeros(BUCKETS, np.int64)
+        for block, texts, toxic, _ in read_blocks(batches):
+            own = fitted_rows(texts)
+            at = Training([texts[i] for i in own], toxic[own], (1, k, block), (nothing, nothing, 0.5)).resume(rows, rest, live)
+            yield from parts(block, at.round())
+
+    return run
+
+
+def calibrate_blocks(net: Net, kept: DataFrame, share: float) -> None:
+    """``calibrate`` by all rows of the blocks that were not fitted, counted by language, label and rounded logit."""
+    data = net.dump()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Net.load(data)
+        for _, texts, toxic, langs in read_blocks(batches):
+            held = range(4, len(texts), 5)
+            logits = [float(own.logits(texts[i], np.array([0, len(texts[i])]))[0]) for i in held]
+            at = np.rint(np.clip(logits, -WIDEST, WIDEST) * GRID).astype(np.int32)
+            columns = [pa.array(at, pa.int32()), pa.array(toxic[4::5], pa.int32()), pa.array([langs[i] for i in held], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["at", "toxic", "lang"])
+
+    counted = kept.mapInArrow(place, "at int, toxic int, lang string").groupBy("lang", "toxic", "at").agg(F.count("*").alias("times"))
+    work = workspace(kept.sparkSession, "toxicity")
+    counted = work.stage(counted, "calibration")
+    common = counted.groupBy("toxic", "at").agg(F.sum("times").alias("times")).orderBy("at", "toxic").toPandas()
+    if platt(net, common["at"].to_numpy() / GRID, common["toxic"].to_numpy(), common["times"].to_numpy(np.float64), share):
+        net_at = Net(np.zeros((1, DIM), np.float32), [], net.bases, net.unit, net.base, net.slope, net.shift, common=net.common)
+
+        def own(rows):
+            rows = rows.sort_values(["at", "toxic"])
+            cut = own_threshold(net_at, rows["at"].to_numpy() / GRID, rows["toxic"].to_numpy(), rows["times"].to_numpy(float))
+            return rows[["lang"]].head(1).assign(cut=cut)
+
+        some = counted.where("toxic = 1 and lang is not null").select("lang").distinct()
+        found = counted.join(some, "lang").groupBy("lang").applyInPandas(own, "lang string, cut double")
+        net.thresholds = {r["lang"]: r["cut"] for r in found.orderBy("lang").collect()}
+    work.close()
+
+
 def train(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], share: float) -> Net:
     held = np.arange(len(texts)) % 5 == 4
     fitted, rest = np.flatnonzero(~held), np.flatnonzero(held)

@@ -142,3 +142,39 @@ def test_one_class_and_no_labels(spark):
     docs, labels = docs_and_labels(spark, ["a", None, "", "b c"], [0, 0, None, 0])
     assert {r.score for r in tox.score(docs, tox.fit(docs, labels)).collect()} == {round(1 / 5, 6)}
     assert {r.score for r in tox.score(docs, tox.fit(docs, labels.limit(0))).collect()} == {0.5}
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """Sixty toxic words of five documents each, six blocks: whatever is left out would stay unknown."""
+    words = [f"{chr(97 + i // 8)}{chr(97 + i % 8)}zq{'xyvw'[i % 4] * 3}" for i in range(60)]
+    texts = [f"plain words number {i % 17} {words[i % 60]} here" for i in range(300)] + [f"plain words number {i % 17} and nothing here" for i in range(300)]
+    docs, labels = docs_and_labels(spark, texts, [1] * 300 + [0] * 300)
+    net = tox.fit(docs, labels, block_rows=100)
+    assert net.share is None and net.thresholds.keys() == {"en"}
+    probes = [f"{w} plain" for w in words] + ["plain words number 3 and nothing here"]
+    found = net.scores(*text_bytes(pa.array(probes)))
+    assert (found[:60] > 0.7).mean() > 0.95 and found[60:].max() < 0.3
+    again = tox.fit(docs.repartition(7), labels, block_rows=100)
+    assert again.dump() == net.dump()
+
+
+def test_blocks_add_up_to_all_rows(spark):
+    parts = [(c, b, np.full(4, 10.0 * c + b, np.float32).tobytes()) for b in range(5) for c in (tox.REST, 0, 3)]
+    sums = tox.added_up(spark.createDataFrame(parts, "chunk int, block int, data binary"))
+    assert {k: v.tolist() for k, v in sums.items()} == {c: [50.0 * c + 10] * 4 for c in (tox.REST, 0, 3)}
+
+
+def test_counted_rows_calibrate_like_repeated_ones():
+    draw = np.random.default_rng(5)
+    logits, toxic, times = draw.normal(0, 2, 60), draw.integers(0, 2, 60), draw.integers(1, 5, 60)
+    logits += 2 * toxic
+    one, other = random_net(), random_net()
+    tox.calibrate(one, np.repeat(logits, times), np.repeat(toxic, times), ["en"] * times.sum(), 0.1)
+    assert tox.platt(other, logits, toxic, times.astype(float), 0.1)
+    assert np.allclose([one.slope, one.shift, one.common], [other.slope, other.shift, other.common])
+    assert np.isclose(one.thresholds["en"], tox.own_threshold(other, logits, toxic, times.astype(float)))
+
+
+def test_one_class_in_many_blocks(spark):
+    docs, labels = docs_and_labels(spark, [f"text {i}" for i in range(40)], [0] * 40)
+    assert tox.fit(docs, labels, block_rows=10).share == 1 / 42
