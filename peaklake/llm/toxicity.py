@@ -239,11 +239,12 @@ class Training:
         net, n = self.net, len(chosen)
         places, words, pooled = [], [], np.empty((n, len(net.unit)), np.float32)
         for d, i in enumerate(chosen):  # one text after another: the maxima of a text are found with its rows at hand
-            rows = np.concatenate((self.texts[i], np.zeros((PAD, 1 + len(PREFIXES)), np.int32)))
+            n_words = len(self.texts[i])
+            rows = np.concatenate((self.texts[i], np.zeros((PAD + (n_words == 0), 1 + len(PREFIXES)), np.int32)))
             rows[self.draw.random(len(rows)) < DROP, 0] = 0  # a stem must do without the whole word, and without its longer form
             rows[self.draw.random(len(rows)) < DROP, -1] = 0
             best, at = np.zeros(len(net.unit), np.float32), np.zeros(len(net.unit), np.int64)
-            for a in range(0, len(rows) - PAD, PIECE_WORDS):
+            for a in range(0, n_words, PIECE_WORDS):
                 values = net.convolve(net.embed(rows[a : a + PIECE_WORDS + PAD]))
                 top = values.argmax(axis=0)
                 now = values[top, np.arange(len(top))]

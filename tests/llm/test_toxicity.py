@@ -178,3 +178,9 @@ def test_counted_rows_calibrate_like_repeated_ones():
 def test_one_class_in_many_blocks(spark):
     docs, labels = docs_and_labels(spark, [f"text {i}" for i in range(40)], [0] * 40)
     assert tox.fit(docs, labels, block_rows=10).share == 1 / 42
+
+
+def test_labelled_texts_without_words_are_learned_from():
+    texts = [rows_of([t])[0] for t in ["bad word", "", "good word", "123", "bad thing", "good thing"] * 5]
+    net = tox.Training(texts, np.array([1, 0, 0, 0, 1, 0] * 5)).run()
+    assert np.isfinite(net.logits(*rows_of(["bad word", ""]))).all()
