@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_VALUES = 4_000_000  # rows x features of a group of donors: 32 MB
-DONOR_ROWS = (256, 131_072)  # bounds of the rows of a group of donors
-QUERY_ROWS = 65_536  # most rows of a group of queries, whose answers are held together
+BLOCK_VALUES = 8_000_000  # rows x features of a group of donors: 64 MB. Every group of one side is shuffled once for each of the other
+DONOR_ROWS = (256, 393_216)  # bounds of the rows of a group of donors
+QUERY_ROWS = 131_072  # most rows of a group of queries, whose answers are held together
 QUERY_PARTS, LEAST_QUERIES = 8, 1_024  # a key has so many groups of queries, which keeps all cores busy on few keys, unless they get smaller
 GROUPS = 96  # and with many keys only so many of all keys together: every group reads all donors of its key
 GRID_BLOCKS = 16  # up to so many groups of donors all groups of a key meet; bounds between more of them pay for the layout
@@ -639,7 +639,7 @@ def danger_and_kin(
 
 
 DRAWN_VALUES = 16_000_000  # rows x features of a key whose draws take their neighbours from one list: a task holds them all
-HELD_GROUPS = 4  # groups of donors of a key that one task still holds
+HELD_GROUPS = 2  # groups of donors of a key that one task still holds
 DRAWN_LISTS = (3, 6)  # times m (and k) rows of a list, and so many more: a row is drawn once on average
 
 

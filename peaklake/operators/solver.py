@@ -237,6 +237,9 @@ def _fit_local(rows: DataFrame, models: DataFrame, keys: list[str], schema: T.St
         return out[schema.names]
 
     group = [*keys, "_part"]
+    # Fits are much work on few bytes: with a number of partitions given, keys are not put together by their bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread, specs = (side.repartition(parts, *group) for side in (spread, specs))
     return cogroup_apply(spread, specs, group, run, schema)
 
 

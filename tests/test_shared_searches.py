@@ -97,6 +97,12 @@ def test_lists_of_draws_against_all_copies():
         assert got == (y[near] != y[i]).sum()
 
 
+def test_few_copies_of_many_rows_are_shuffled(spark):
+    rows = spark.range(287_000).select(F.lit("a").alias("pair"), F.array_repeat(F.lit(0.0), 24).alias("x"))
+    size = N._sizes(rows, rows, ["pair"], None).first()
+    assert size._dgroups + size._qleast <= 4
+
+
 def test_complete_rows_are_screened_without_masks():
     x = np.random.default_rng(6).normal(size=(6_000, 5))
     tiles = N.Tiles(x)
