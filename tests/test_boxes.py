@@ -116,3 +116,17 @@ def test_nearest_rows_by_bounds_equals_brute_force(spark, workspace, block_rows)
         kin = [j for j in order if y[j] == y[i] and j != i]
         assert [got[f"{i:04d}", "all", r] for r in range(1, 7)] == [f"{j:04d}" for j in order[:6]]
         assert [got[f"{i:04d}", "kin", r] for r in range(1, 5)] == [f"{j:04d}" for j in kin[:4]]
+
+
+def test_blocks_of_queries_share_pages(spark, workspace):
+    """Every page of boxes went to every block of queries, and every query to a page of 64 boxes: both grew with the square of the rows."""
+    rng = np.random.default_rng(8)
+    rows = workspace.stage(spark.createDataFrame([("a", f"{i:05d}", f"{i % 300}", rng.normal(size=4).tolist()) for i in range(1_500)], "pair string, sample_id string, qblock string, x array<double>"), "rows")
+    described = workspace.stage(boxes.boxes_of(rows.withColumnRenamed("qblock", "dblock"), ["pair"], "dblock"), "boxes")
+    many, paged = boxes._paged(rows, described, ["pair"])
+    assert (many.count(), paged.count()) == (1_500, 300)
+    asked = rows.selectExpr("*", "array('7') AS seen", "array(named_struct('slot', 1, 'tau', CAST(0.5 AS DOUBLE))) AS wants")
+    got = boxes.boxes_within(asked, described, ["pair"], "sample_id", by_block=True).select("qblock", "dblock").collect()
+    each = boxes.boxes_within(asked, described, ["pair"], "sample_id").select("qblock", "dblock").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, each)) and got
+    assert not any(r["dblock"] == "7" for r in got)
